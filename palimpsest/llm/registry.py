@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import queries_texts
+from palimpsest.llm import queries_language, queries_neardup, queries_neighbours, queries_texts
 
-MODULES = [queries_texts]
+MODULES = [queries_language, queries_neardup, queries_neighbours, queries_texts]
 
 
 def queries() -> dict:
