@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +32,11 @@ def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that are usable, their vectors at length 1). Usable: `dims` finite values, not all zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    size = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     have = np.flatnonzero(size == dims)
     if not len(have):
         return have, np.zeros((0, dims), np.float32)
-    flat = pa.compute.fill_null(column.take(pa.array(have)).flatten().cast(pa.float64()), float("nan"))
+    flat = pc.fill_null(column.take(pa.array(have)).flatten().cast(pa.float64()), float("nan"))
     v = flat.to_numpy(zero_copy_only=False).reshape(-1, dims)
     good = np.isfinite(v).all(1) & (v != 0).any(1)
     v = v[good]

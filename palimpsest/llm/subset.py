@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def _pass(df: DataFrame, keys: list[str], dims: int, alike: float | None, fill:
     schema = df.schema
 
     def run(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table, [("score", "descending"), ("id", "ascending")])
+        order = pc.sort_indices(table, [("score", "descending"), ("id", "ascending")])
         table = table.take(order)
         ids = table.column("id").to_pylist()
         seen: set = set()
