@@ -36,9 +36,9 @@ LANGUAGES = {
 NAMES = [*LANGUAGES, ""]
 NONE = len(LANGUAGES)
 #: Documents of each labelled language that the field is fitted on, about; their words at most.
-FIT_DOCUMENTS, FIT_WORDS = 120, 600_000
+FIT_DOCUMENTS, FIT_WORDS = 60, 300_000
 #: Weights of the feature table, and rounds of fitting.
-FEATURES, ROUNDS = 1 << 15, 24
+FEATURES, ROUNDS = 1 << 15, 20
 #: Words of a chain at most; longer lines are cut.
 CHAIN = 256
 #: A sentence has a language if at least so many of its words have it, and this share of its words that aren't none.
@@ -54,11 +54,11 @@ def named_language(label: Column) -> Column:
     """The language that a label names: a code of two or three letters, with or without a region, or an English name, in
     any case, blanks around it ignored. Null for every other label and for none."""
     clean = F.lower(F.regexp_replace(label, r"^\s+|\s+$", ""))
-    code = F.regexp_extract(clean, r"^([a-z]{2,3})(?:[-_][a-z0-9]{2,8})*$", 1)
-    out = F.lit(None).cast("string")
-    for two, (*threes, name) in LANGUAGES.items():
-        out = F.when(code.isin(two, *threes) | (clean == name), two).otherwise(out)
-    return out
+    codes = {x: two for two, (*threes, _) in LANGUAGES.items() for x in (two, *threes)}
+    names = {name: two for two, (*_, name) in LANGUAGES.items()}
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    base = F.regexp_extract(clean, r"^([a-z]{2,3})(?:[-_][a-z0-9]{2,8})*$", 1)
+    return F.coalesce(F.try_element_at(table(codes), base), F.try_element_at(table(names), clean))
 
 
 @dataclass
@@ -80,6 +80,24 @@ def _ideographs(cp: np.ndarray) -> np.ndarray:
     return ((cp >= 0x3005) & (cp <= 0x3007)) | ((cp >= 0x3040) & (cp <= 0x30FF)) | ((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0xF900) & (cp <= 0xFAFF)) | ((cp >= 0x20000) & (cp < 0x32000))
 
 
+def _fenced(b: Block, first: np.ndarray) -> np.ndarray:
+    """Which code points lie in fenced code: between a line that starts with three backticks and the next such line of
+    the same text. A fence without another after it is none."""
+    cp, n = b.cp, len(b.cp)
+    out = np.zeros(n, bool)
+    tick = np.flatnonzero((cp == 0x60) & (first | (np.append(0, cp[:-1]) == 0x0A)))
+    tick = tick[tick + 2 < n]
+    tick = tick[(cp[tick + 1] == 0x60) & (cp[tick + 2] == 0x60)]
+    doc = np.searchsorted(b.doc, tick, "right") - 1
+    rank = np.arange(len(tick)) - np.searchsorted(doc, doc)
+    opens = np.flatnonzero((rank % 2 == 0) & np.append(doc[1:] == doc[:-1], np.zeros(min(1, len(tick)), bool)))
+    step = np.zeros(n + 1, np.int32)
+    step[tick[opens]] += 1
+    step[tick[opens + 1]] -= 1
+    np.not_equal(np.cumsum(step[:-1]), 0, out=out)
+    return out
+
+
 def find_words(b: Block) -> Words:
     """Runs of letters; an ideograph or kana is a word of its own."""
     cp, n = b.cp, len(b.cp)
@@ -104,6 +122,7 @@ def find_words(b: Block) -> Words:
     start = np.flatnonzero((run & (first | np.append(True, ~run[:-1]))) | ideo)
     end = np.flatnonzero((run & np.append(first[1:] | ~run[1:], True)) | ideo) + 1
     keep = ideo[start] | ~noisy[stretch[start]] if len(start) else np.zeros(0, bool)
+    keep &= ~_fenced(b, first)[start]
     start, end = start[keep], end[keep]
     sentence, line = sentence_of[start], line_of[start]
     if len(start):
@@ -332,9 +351,7 @@ def fit_sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label:
     have = {r.lang: r.n for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not have:
         return fit([], [])
-    rate = F.lit(0)
-    for lang, n in have.items():
-        rate = F.when(F.col("lang") == lang, int(min(1.0, documents / n) * (1 << 20))).otherwise(rate)
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, int(min(1.0, documents / n) * (1 << 20)))]), F.col("lang"))
     rows = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate).orderBy(F.xxhash64("id"), "id").limit(documents * len(LANGUAGES) * 2).collect()
     texts, labels, words = [], [], 0
     for r in rows:
