@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import references
+from palimpsest.plans import references, search, state
 
-MODULES = [references]
-FLAGSHIP = references.p2_found
+MODULES = [search, state, references]
+FLAGSHIP = search.hybrid_fallback_topk
 
 
 def queries() -> dict:
