@@ -1,9 +1,9 @@
 """The k most similar vectors of every vector: hierarchical k-means trees searched best bin first.
 
-Every group (here tenant and model) has one tree. Its top level, fitted on a bounded sample, cuts large groups into
-shards of about `SHARD_ROWS` vectors; every vector is indexed in the shard of its nearest centre. A shard's subtree is
-built by the task that holds the shard, over all its vectors. A query is searched in its own shard and in every other
-one whose centre is nearly as near as its own; how nearly is calibrated on the sample. Within a shard a priority queue of
+Every group (here tenant and model) has one tree. Its top level, fitted on a bounded sample, is a set of centres dealt
+into shards of about `SHARD_ROWS` vectors, neighbouring centres together; every vector is indexed in the shard of its
+nearest centre. A shard's subtree is built by the task that holds the shard, over all its vectors. A query is searched in
+its own shard and in every other one with a centre nearly as near as its nearest; how nearly is calibrated on the sample. Within a shard a priority queue of
 tree nodes, one for each query, is worked off best first, whole batches of queries in step, and the number of leaves
 visited is widened until a calibration set of queries, compared with brute force over the shard, reaches the recall
 asked for.
@@ -17,14 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard, about, and of a leaf; branches of a node.
-SHARD_ROWS, LEAF_ROWS, BRANCHES = 24_000, 96, 16
-#: Vectors of a group that the top level is fitted on, at most, about; this sample also calibrates the margin.
+#: Vectors of a shard, about; of a leaf at most; branches of a node at most.
+SHARD_ROWS, LEAF_ROWS, BRANCHES = 48_000, 256, 256
+#: Centres of the top level of a large group: so many at least, and so many for each shard.
+CENTRES, CENTRES_PER_SHARD = 256, 16
+#: Vectors of a group that the top level is fitted on, about; this sample also calibrates the margin.
 FIT_ROWS = 8_192
-#: Most shards in all. Their centres are sent to every task: 256 bytes each at 64 dimensions, 16 MB at most.
-MOST_SHARDS = 65_536
+#: Most centres in all groups. They are sent to every task: 256 bytes each at 64 dimensions, so 64 MB at most; beyond
+#: that shards grow instead.
+MOST_CENTRES = 262_144
 #: Recall at which widening stops, in a shard and for the margin between shards; calibration queries of a shard.
-RECALL, MARGIN_RECALL, CALIBRATION = 0.94, 0.97, 192
+RECALL, MARGIN_RECALL, CALIBRATION = 0.94, 0.95, 192
 ROUNDS = 6
 
 
@@ -50,12 +53,12 @@ def k_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = ROUNDS) -> np.nd
     c = x[g.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
         a = (x @ c.T).argmax(1)
-        total = np.zeros_like(c)
-        np.add.at(total, a, x)
+        order = np.argsort(a, kind="stable")
         n = np.bincount(a, minlength=len(c))
-        empty = n == 0
-        total[empty] = x[g.integers(0, len(x), int(empty.sum()))]
-        c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+        full = np.flatnonzero(n)
+        c = x[g.integers(0, len(x), len(c))].copy()  # a centre without vectors starts anew
+        c[full] = np.add.reduceat(x[order], (np.cumsum(n) - n)[full], axis=0)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c.astype(np.float32)
 
 
@@ -76,7 +79,8 @@ class Tree:
             if len(rows) <= leaf:
                 self.rows[node] = rows
                 continue
-            c = k_means(x[rows], min(branches, -(-len(rows) // (leaf // 2))), node)
+            k = min(branches, -(-len(rows) // (leaf // 2)))
+            c = k_means(x[rows[:: max(1, len(rows) // (96 * k))]], k, node)
             a = (x[rows] @ c.T).argmax(1)
             n = np.bincount(a, minlength=len(c))
             if n.max() == len(rows):  # copies of one vector: no centre parts them
@@ -89,6 +93,7 @@ class Tree:
                 todo.append((kids[-1], rows[a == j]))
             self.kids[node] = np.array(kids)
         self.centres = np.vstack(self.centre)
+        self.is_leaf = np.array([not len(k) for k in self.kids], bool)
 
     def visits(self, q: np.ndarray, leaves: int) -> np.ndarray:
         """The first `leaves` leaves of each query, best bin first; -1 where the tree has no more."""
@@ -97,7 +102,7 @@ class Tree:
         if not len(self.kids[0]):
             out[:, 0] = 0
             return out
-        width = 4 * BRANCHES
+        width = len(self.kids[0]) + 16
         score, node = np.full((n, width), -np.inf, np.float32), np.zeros((n, width), np.int64)
         used, got = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -105,8 +110,8 @@ class Tree:
             nonlocal score, node
             kids = self.kids[parent]
             while used[who].max() + len(kids) > score.shape[1]:
-                score = np.hstack([score, np.full((n, width), -np.inf, np.float32)])
-                node = np.hstack([node, np.zeros((n, width), np.int64)])
+                score = np.hstack([score, np.full((n, 32), -np.inf, np.float32)])
+                node = np.hstack([node, np.zeros((n, 32), np.int64)])
             at = used[who][:, None] + np.arange(len(kids))
             score[who[:, None], at] = q[who] @ self.centres[kids].T
             node[who[:, None], at] = kids
@@ -120,7 +125,7 @@ class Tree:
             some = score[live, best] > -np.inf
             score[live, best] = -np.inf
             live, top = live[some], top[some]
-            leaf = np.array([not len(self.kids[t]) for t in top.tolist()], bool) if len(top) else np.zeros(0, bool)
+            leaf = self.is_leaf[top]
             out[live[leaf], got[live[leaf]]] = top[leaf]
             got[live[leaf]] += 1
             for t in np.unique(top[~leaf]):
@@ -172,19 +177,45 @@ class Tree:
         return total
 
 
-def shard_top(x: np.ndarray, shards: int, k: int) -> tuple[np.ndarray, float]:
-    """(centres of the shards, margin): of the sample's true neighbours, the share MARGIN_RECALL lies in shards whose
-    centre is at most the margin further from the query, as cosine, than the nearest."""
-    c = k_means(x, shards, rounds=10)
-    g = np.random.default_rng(3)
-    pick = g.choice(len(x), min(512, len(x)), replace=False)
+def deal(c: np.ndarray, mass: np.ndarray, shards: int) -> np.ndarray:
+    """A shard for each centre: halves of about equal mass across the main axis of the centres, again and again."""
+    out = np.zeros(len(c), np.int64)
+    todo, made = [(np.arange(len(c)), shards)], 0
+    while todo:
+        at, parts = todo.pop()
+        if parts <= 1 or len(at) <= 1:
+            out[at] = made
+            made += 1
+            continue
+        x = c[at] - c[at].mean(0)
+        axis = np.linalg.svd(x, full_matrices=False)[2][0]
+        order = at[np.argsort(x @ axis, kind="stable")]
+        share = np.cumsum(mass[order]) / mass[order].sum()
+        cut = min(max(1, int(np.searchsorted(share, (parts // 2) / parts)) + 1), len(at) - 1)
+        todo += [(order[:cut], parts // 2), (order[cut:], parts - parts // 2)]
+    return out
+
+
+def shard_top(x: np.ndarray, shards: int, centres: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centres, shard of each, margin): the share MARGIN_RECALL of the sample's true neighbours lies in the query's own
+    shard or in one with a centre that is, as cosine, at most the margin further from the query than its nearest."""
+    c = k_means(x, min(centres, len(x)), rounds=10)
+    home = (x @ c.T).argmax(1)
+    shard = deal(c, np.bincount(home, minlength=len(c)) + 1e-3, shards)
+    pick = np.random.default_rng(3).choice(len(x), min(512, len(x)), replace=False)
     s = x[pick] @ x.T
     s[np.arange(len(pick)), pick] = -2
-    near = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
-    to = x[pick] @ c.T
-    home = (x @ c.T).argmax(1)
-    gap = to.max(1, keepdims=True) - np.take_along_axis(to, home[near], 1)
-    return c, float(np.quantile(gap, MARGIN_RECALL)) + 1e-6
+    m = min(k, len(x) - 1)
+    near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    best = by_shard(x[pick] @ c.T, shard)
+    gap = best.max(1, keepdims=True) - np.take_along_axis(best, shard[home[near]], 1)
+    return c, shard, float(np.quantile(gap, MARGIN_RECALL)) + 1e-6
+
+
+def by_shard(s: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """The greatest of each row's similarities to the centres of each shard."""
+    order = np.argsort(shard, kind="stable")
+    return np.maximum.reduceat(s[:, order], np.flatnonzero(np.append(True, np.diff(shard[order]) > 0)), axis=1)
 
 
 def nearest(df: DataFrame, id_col: str, vector: str, groups: list[str], k: int = 5, dims: int = 64, at_least: float | None = None, shard_rows: int = SHARD_ROWS, recall: float = RECALL) -> DataFrame:
@@ -200,9 +231,9 @@ def nearest(df: DataFrame, id_col: str, vector: str, groups: list[str], k: int =
     names = [f"g{i}" for i in range(len(groups))]
     gs = ", ".join(f"{n} string" for n in names)
     sizes = narrow.where("v is not null").groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > shard_rows).orderBy(F.desc("n"), *names).limit(MOST_SHARDS).collect()  # at most rows / shard_rows
-    rows = max(shard_rows, -(-sum(r.n for r in large) // MOST_SHARDS)) if large else shard_rows
-    top: dict[tuple, tuple[np.ndarray, float]] = {}
+    large = sizes.where(F.col("n") > shard_rows).orderBy(F.desc("n"), *names).limit(MOST_CENTRES // CENTRES).collect()  # at most rows / shard_rows
+    rows = max(shard_rows, -(-sum(r.n for r in large) * CENTRES_PER_SHARD // MOST_CENTRES))
+    top: dict[tuple, tuple[np.ndarray, np.ndarray, float]] = {}
     if large:
         spark = df.sparkSession
         schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("n", T.LongType()), T.StructField("shards", T.IntegerType())])
@@ -211,17 +242,18 @@ def nearest(df: DataFrame, id_col: str, vector: str, groups: list[str], k: int =
         sample = (
             narrow.alias("narrow")
             .join(F.broadcast(wanted.alias("w")), same)
-            .where(F.pmod(F.xxhash64("id"), F.col("n")) < F.greatest(F.lit(FIT_ROWS), F.col("shards") * 64))
+            .where(F.pmod(F.xxhash64("id"), F.col("n")) < F.greatest(F.lit(FIT_ROWS), F.col("shards") * CENTRES_PER_SHARD * 16))
             .select(*[F.col(f"narrow.{n}") for n in names], "shards", "v")
         )
 
         def fit(table: pa.Table) -> pa.Table:
             _, x = unit_rows(table.column("v"), dims)
-            c, margin = shard_top(x, table.column("shards")[0].as_py(), k) if len(x) > k else (np.zeros((1, dims), np.float32), 0.0)
-            return pa.table({**{n: pa.array([table.column(n)[0].as_py()], pa.string()) for n in names}, "centres": pa.array([c.tobytes()], pa.binary()), "margin": pa.array([margin])})
+            shards = table.column("shards")[0].as_py()
+            c, shard, margin = shard_top(x, shards, max(CENTRES, shards * CENTRES_PER_SHARD), k) if len(x) > k else (np.zeros((1, dims), np.float32), np.zeros(1, np.int64), 0.0)
+            return pa.table({**{n: pa.array([table.column(n)[0].as_py()], pa.string()) for n in names}, "centres": pa.array([c.tobytes()], pa.binary()), "shard": pa.array([shard.tolist()], pa.list_(pa.int64())), "margin": pa.array([margin])})
 
-        for r in sample.groupBy(*names).applyInArrow(fit, f"{gs}, centres binary, margin double").collect():
-            top[tuple(r[n] for n in names)] = (np.frombuffer(bytes(r.centres), np.float32).reshape(-1, dims), r.margin)
+        for r in sample.groupBy(*names).applyInArrow(fit, f"{gs}, centres binary, shard array<long>, margin double").collect():
+            top[tuple(r[n] for n in names)] = (np.frombuffer(bytes(r.centres), np.float32).reshape(-1, dims), np.array(r.shard), r.margin)
     shared = df.sparkSession.sparkContext.broadcast(top)
 
     def route(batches):
@@ -239,9 +271,9 @@ def nearest(df: DataFrame, id_col: str, vector: str, groups: list[str], k: int =
                     if key in tops:
                         of.setdefault(key, []).append(i)
                 for key, at in of.items():
-                    c, margin = tops[key]
+                    c, of_centre, margin = tops[key]
                     at = np.array(at)
-                    s = x[at] @ c.T
+                    s = by_shard(x[at] @ c.T, of_centre)
                     home = s.argmax(1)
                     shard[0][at] = home
                     i, j = np.nonzero(s >= s.max(1, keepdims=True) - margin)
