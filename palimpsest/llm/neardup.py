@@ -17,18 +17,22 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.scan import LETTER, NUMBER, Block, blocks, class_table, slice_hashes
-from palimpsest.runtime import durable
+from palimpsest.runtime import durable, stored
 
 #: Chance that a pair at the threshold shares no band, at most; and that a batch drops a pair that reaches it.
 BAND_MISS, BATCH_MISS = 0.005, 0.001
 #: Values of a signature and of one batch of the sequential comparison; a value is the low byte of a MinHash.
 SIGNATURE, BATCH = 64, 32
+#: Bits of a bucket's number. Two buckets that share a number only add candidates, which the comparison drops.
+BUCKET_BITS = 48
 #: Different sets in a bucket from which on it is verified in blocks; keys of a block.
 HOT_BUCKET, BLOCK_KEYS = 2_000, 1_000
+#: Records to verify whose ids are sent to all tasks at most (some 100 bytes each); more take a shuffled join.
+BROADCAST_IDS = 500_000
 #: Keys that a task remembers so as to give each key's bands and signature once (a saving only).
 SEEN = 500_000
 _WORD = re.compile(r"[^\W_]+")
@@ -121,9 +125,9 @@ def minhashes(e: np.ndarray, head: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(df: DataFrame, kind: Kind, id_col: str, text: str, group_col: str | None = None) -> DataFrame:
+def signatures(df: DataFrame, kind: Kind, number: int, id_col: str, text: str, group_col: str | None = None) -> DataFrame:
     """(tbl, id, grp, key, bands, sig) of every record whose text has a set. `key` stands for the set; `bands` and
-    `sig` are null where the same task has given them for this key before."""
+    `sig` are null where the same task has given them for this key before. A sig begins with the kind's number."""
     src = df.select(F.col(id_col).cast("string").alias("id"), (F.col(group_col) if group_col else F.lit(None)).cast("string").alias("grp"), F.col(text).alias("text"))
     n_hash = max(kind.bands * kind.rows, SIGNATURE)
 
@@ -153,8 +157,9 @@ def signatures(df: DataFrame, kind: Kind, id_col: str, text: str, group_col: str
                     for r in range(kind.rows):
                         bucket = _mix(bucket * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, r])
                     low = (m[:, :SIGNATURE] & 0xFF).astype(np.uint8)
+                    bucket >>= np.uint64(64 - BUCKET_BITS)
                     for i, x, y in zip(np.flatnonzero(new), bucket.view(np.int64), low, strict=True):
-                        bands[i], sig[i] = x, y.tobytes()
+                        bands[i], sig[i] = x, bytes([number]) + y.tobytes()
                 part = part.take(pa.array(have))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grp"), pa.array(key), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "grp", "key", "bands", "sig"])
 
@@ -184,56 +189,58 @@ def bayes_keep(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return alive
 
 
-def _as_array(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+def _as_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the kinds, signatures)."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE + 1)
+    return x[:, 0], x[:, 1:]
 
 
 def candidate_pairs(sigs: DataFrame, kinds: list[Kind], hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Distinct pairs (tbl, key_a, key_b), key_a < key_b, that share a bucket and survive the Bayesian comparison."""
-    thresholds = {k.name: k.threshold for k in kinds}
     known = sigs.where("bands is not null")
-    member = known.select("tbl", "key", F.explode("bands").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "key"])
-    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = member.join(sizes, "bucket")
+    # every use reads the same columns behind the same exchange, so that it is made once; a key belongs to one table only
+    member = known.select("key", F.explode("bands").alias("bucket")).where("bucket is not null").repartition("bucket").dropDuplicates(["bucket", "key"])
+    shared = member.withColumn("n", F.count("key").over(Window.partitionBy("bucket"))).where("n > 1")
     cool = shared.where(F.col("n") < hot_bucket)
-    left, right = cool.select("tbl", "bucket", F.col("key").alias("key_a")), cool.select("bucket", F.col("key").alias("key_b"))
-    pairs = left.join(right, "bucket").where("key_a < key_b").select("tbl", "key_a", "key_b").distinct()
-    sig = known.groupBy("tbl", "key").agg(F.first("sig").alias("sig"))
+    left, right = cool.select("bucket", F.col("key").alias("key_a")), cool.select("bucket", F.col("key").alias("key_b"))
+    pairs = left.join(right, "bucket").where("key_a < key_b").select("key_a", "key_b").distinct()
+    sig = known.groupBy("key").agg(F.min("sig").alias("sig"))
 
     def compare(batches):
         for b in batches:
-            x, y, tbl = _as_array(b.column("sig_a")), _as_array(b.column("sig_b")), np.array(b.column("tbl").to_pylist())
-            keep = [np.flatnonzero(tbl == t)[bayes_keep(x[tbl == t], y[tbl == t], thresholds[t])] for t in set(tbl.tolist())]
-            if keep:
-                yield b.take(pa.array(np.sort(np.concatenate(keep)))).select(["tbl", "key_a", "key_b"])
+            (number, x), (_, y) = _as_arrays(b.column("sig_a")), _as_arrays(b.column("sig_b"))
+            for i, kind in enumerate(kinds):
+                mine = np.flatnonzero(number == i)
+                keep = pa.array(mine[bayes_keep(x[mine], y[mine], kind.threshold)])
+                yield pa.RecordBatch.from_arrays([pa.array([kind.name] * len(keep), pa.string()), b.column("key_a").take(keep), b.column("key_b").take(keep)], names=["tbl", "key_a", "key_b"])
 
-    signed = pairs.join(sig.withColumnRenamed("sig", "sig_a").withColumnRenamed("key", "key_a"), ["tbl", "key_a"]).join(sig.withColumnRenamed("sig", "sig_b").withColumnRenamed("key", "key_b"), ["tbl", "key_b"])
-    survivors = signed.select("tbl", "key_a", "key_b", "sig_a", "sig_b").mapInArrow(compare, "tbl string, key_a long, key_b long")
+    signed = pairs.join(sig.toDF("key_a", "sig_a"), "key_a").join(sig.toDF("key_b", "sig_b"), "key_b")
+    survivors = signed.select("key_a", "key_b", "sig_a", "sig_b").mapInArrow(compare, "tbl string, key_a long, key_b long")
 
     def compare_blocks(table: pa.Table) -> pa.Table:
-        t = table.column("tbl")[0].as_py()
         key, part, sides = table.column("key").to_numpy(), table.column("part").to_numpy(), (table.column("i")[0].as_py(), table.column("j")[0].as_py())
-        s = _as_array(table.column("sig").combine_chunks())
+        number, s = _as_arrays(table.column("sig").combine_chunks())
+        kind = kinds[number[0]]
         at = [np.flatnonzero(part == x) for x in sides]
         out_a, out_b = [], []
         for r in at[0]:
             others = at[1] if sides[0] != sides[1] else at[1][at[1] > r]
-            hit = others[bayes_keep(np.broadcast_to(s[r], (len(others), SIGNATURE)), s[others], thresholds[t])]
+            hit = others[bayes_keep(np.broadcast_to(s[r], (len(others), SIGNATURE)), s[others], kind.threshold)]
             out_a.append(np.minimum(key[r], key[hit]))
             out_b.append(np.maximum(key[r], key[hit]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"tbl": pa.array([t] * len(a), pa.string()), "key_a": a, "key_b": b})
+        return pa.table({"tbl": pa.array([kind.name] * len(a), pa.string()), "key_a": a, "key_b": b})
 
     parts = F.ceil(F.col("n") / BLOCK_KEYS).cast("int")
     hot = (
         shared.where(F.col("n") >= hot_bucket)
-        .join(sig, ["tbl", "key"])
+        .join(sig, "key")
         .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("part", "other"))
         .withColumn("j", F.greatest("part", "other"))
-        .select("tbl", "bucket", "i", "j", "part", "key", "sig")
+        .select("bucket", "i", "j", "part", "key", "sig")
         .groupBy("bucket", "i", "j")
         .applyInArrow(compare_blocks, "tbl string, key_a long, key_b long")
     )
@@ -263,7 +270,7 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, kinds: list[Kind]) -> Dat
 
 @dataclass
 class Similar:
-    """Members (tbl, id, grp, key), one row for each record with a set, and verified pairs of different keys."""
+    """Members (tbl, id, grp, key) of records with a set, repeated where records are, and verified pairs of different keys."""
 
     members: DataFrame
     pairs: DataFrame
@@ -277,18 +284,20 @@ def similar_sets(sources: list[tuple[DataFrame, Kind, str, str, str | None]], ho
     """
     kinds = [k for _, k, *_ in sources]
     sigs = None
-    for df, kind, i, t, g in sources:
-        s = signatures(df, kind, i, t, g)
+    for number, (df, kind, i, t, g) in enumerate(sources):
+        s = signatures(df, kind, number, i, t, g)
         sigs = s if sigs is None else sigs.unionByName(s)
-    sigs = durable(sigs)
-    members = sigs.select("tbl", "id", "grp", "key").distinct()
+    sigs = stored(sigs)
+    members = sigs.select("tbl", "id", "grp", "key")
     pairs = durable(candidate_pairs(sigs, kinds, hot_bucket))
     wanted = pairs.select("tbl", F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    heads = sigs.where("bands is not null").join(wanted, ["tbl", "key"], "left_semi").groupBy("tbl", "key").agg(F.min("id").alias("id"))
+    few = 2 * pairs.count() <= BROADCAST_IDS
+    heads = sigs.where("bands is not null").join(F.broadcast(wanted) if few else wanted, ["tbl", "key"], "left_semi").groupBy("tbl", "key").agg(F.min("id").alias("id"))
     texts = None
     for df, kind, i, t, _ in sources:
         mine = heads.where(F.col("tbl") == kind.name).select("tbl", "key", "id")
-        x = df.select(F.col(i).cast("string").alias("id"), F.col(t).alias("text")).join(mine, "id").groupBy("tbl", "key").agg(F.first("text").alias("text"))
+        # texts of the few records to verify are picked out where they lie; of many, by a shuffled join
+        x = df.select(F.col(i).cast("string").alias("id"), F.col(t).alias("text")).join(F.broadcast(mine) if few else mine, "id").groupBy("tbl", "key").agg(F.first("text").alias("text"))
         texts = x if texts is None else texts.unionByName(x)
     return Similar(members, verified_pairs(pairs, texts, kinds))
 
@@ -297,11 +306,13 @@ def record_pairs(s: Similar) -> DataFrame:
     """Every pair of records (tbl, id_a, id_b), id_a < id_b, that are alike: those of alike sets and those of one set.
     Records of one group (where groups are given) are no pair."""
     m = s.members
-    one, two = m.select("tbl", F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("key").alias("key_a")), m.select("tbl", F.col("id").alias("y"), F.col("grp").alias("gy"), F.col("key").alias("key_b"))
-    other = s.pairs.select("tbl", "key_a", "key_b").join(one, ["tbl", "key_a"]).join(two, ["tbl", "key_b"]).select("tbl", "x", "y", "gx", "gy")
-    copies = one.join(two.withColumnRenamed("key_b", "key_a"), ["tbl", "key_a"]).where("x < y").select("tbl", "x", "y", "gx", "gy")
-    both = other.unionByName(copies).where("gx is null or gy is null or gx <> gy")
-    return both.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    m = m.where("id is not null and key is not null")
+    one, two = m.select(F.col("tbl").alias("tbl"), F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("key").alias("key_a")), m.select(F.col("tbl").alias("tbl_b"), F.col("id").alias("y"), F.col("grp").alias("gy"), F.col("key").alias("key_b"))
+    shared = m.groupBy("key").agg(F.count("key").alias("n")).where("n > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
+    # a set is alike to itself; both joins read the same columns, so that one exchange may serve them
+    both = s.pairs.select("key_a", "key_b").unionByName(shared).join(one, "key_a").join(two, "key_b")
+    both = both.where("tbl = tbl_b and (key_a <> key_b or x < y) and (gx is null or gy is null or gx <> gy)")
+    return both.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def record_groups(s: Similar) -> DataFrame:
@@ -310,7 +321,7 @@ def record_groups(s: Similar) -> DataFrame:
     pairs = durable(s.pairs.select("tbl", "key_a", "key_b"))
     ends = pairs.select("tbl", F.explode(F.array("key_a", "key_b")).alias("key")).groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n_links"))
     label = components(pairs.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
-    joined = s.members.join(label, F.col("key") == F.col("u"), "left").join(ends, ["tbl", "key"], "left")
+    joined = s.members.select("tbl", "id", "key").distinct().join(label, F.col("key") == F.col("u"), "left").join(ends, ["tbl", "key"], "left")
     return joined.select("tbl", "id", F.coalesce("root", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
