@@ -82,7 +82,7 @@ def temporal_boost(temporal_class: Column, occurred_at: Column, valid_until: Col
 
 def recency_prior(updated_at: Column, now: Column) -> Column:
     """Prior of a merged item by its age; neutral without a readable time."""
-    age = F.greatest(F.lit(0.0), days_between(now, updated_at))
+    age = F.when(updated_at.isNotNull(), F.greatest(F.lit(0.0), days_between(now, updated_at)))  # greatest skips nulls
     return F.coalesce(F.exp(-log(2) * age / HALF_LIFE_DAYS), F.lit(NEUTRAL_RECENCY))
 
 

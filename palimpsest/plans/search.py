@@ -297,7 +297,7 @@ _EFF = f"greatest(0, least(1, authority * ({_FACTOR})))"
 _REC = f"greatest(0.7, least(1.3, 0.7 + 0.6 * pow(2, -greatest(0, (epoch_ms({_NOW}) - epoch_ms(occurred_at)) / 86400000.0) / 30)))"
 _LEFT = f"((epoch_ms(valid_until) - epoch_ms({_NOW})) / 86400000.0)"
 _TEMP = f"case when temporal_class in ('state', 'lesson') then 1.0 when temporal_class = 'deadline' then case when valid_until is null then 1.0 when {_LEFT} <= 0 then 0.7 when {_LEFT} >= 7 then 1.0 else greatest(0.7, least(1.3, 1 + 0.3 * (1 - {_LEFT} / 7))) end else {_REC} end"
-_PRIOR = f"coalesce(exp(-ln(2) * greatest(0, (epoch_ms({_NOW}) - epoch_ms(%s)) / 86400000.0) / 30), 0.5)"
+_PRIOR = f"case when %s is null then 0.5 else exp(-ln(2) * greatest(0, (epoch_ms({_NOW}) - epoch_ms(%s)) / 86400000.0) / 30) end"
 _OPEN = "adapter in ('artifact', 'task', 'workflow_run', 'mail') and starts_with(external_ref, adapter || ':')"
 _NORM = "case when max(%s) over w = min(%s) over w then 1.0 else (%s - min(%s) over w) / (max(%s) over w - min(%s) over w) end"
 
@@ -344,14 +344,14 @@ SQL = {
     "authority_boost": chain("select id, round(greatest(0.7, least(1.3, 0.7 + 0.6 * authority)), 6) as boost from ver"),
     "recency_boost": chain(f"select id, round({_REC}, 6) as boost from ver"),
     "temporal_recency": chain(f"select id, round({_TEMP}, 6) as boost from ver"),
-    "recency_prior": chain(f"select id, round({_PRIOR % 'last_seen_at'}, 6) as prior from doc"),
+    "recency_prior": chain(f"select id, round({_PRIOR % (('last_seen_at',) * 2)}, 6) as prior from doc"),
     "entity_ids_agg": chain("select * from ent"),
     "derived_from_agg": chain("select tenant_id, from_ref as version_id, string_agg(to_ref, ',' order by to_ref) as derived_from from edg where from_type = 'version' and to_type = 'version' and rel = 'derived_from' and from_ref is not null group by 1, 2"),
     "open_target": chain(f"select id, case when {_OPEN} then adapter else 'memory' end as open_type, case when {_OPEN} then substr(external_ref, length(adapter) + 2) else id end as open_id from doc"),
     "snippet": chain(r"select id, case when length(t) <= 240 then t else substr(t, 1, 240) || '…' end as snippet from (select id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from chk)"),
     "merge_local_live": chain(
         f"""select query_id, rank, channel, adapter, external_ref, round(combined, 6) as combined from (select *, row_number() over (partition by query_id order by combined desc, channel = 'local' desc, title, adapter, external_ref) as rank from (
-        select *, round(0.85 * norm + 0.15 * ({_PRIOR % 'updated_at'}), 9) as combined from (
+        select *, round(0.85 * norm + 0.15 * ({_PRIOR % (('updated_at',) * 2)}), 9) as combined from (
         select *, case when max(score) over (partition by query_id, channel) > 0 then score / max(score) over (partition by query_id, channel) else 0 end as norm,
           row_number() over (partition by query_id, adapter, external_ref order by channel = 'local' desc, pos desc) as nth from (
           select query_id, 'local' as channel, rank as pos, adapter, external_ref, coalesce(title, '') as title, score, null::timestamp as updated_at from fal
