@@ -99,3 +99,8 @@ def share_grants(shares: DataFrame) -> DataFrame:
     return kept.select(
         record_id("mgrt", F.col("document_id"), F.col("principal_id")).alias("id"), "principal_id", document_tag(F.col("document_id")).alias("resource"), F.lit("search").alias("action"), F.lit("allow").alias("effect"), F.lit("memory_share").alias("origin")
     )
+
+
+def put_grants(grants: DataFrame, new: DataFrame) -> DataFrame:
+    """`grants` with those of `new` put in; one with the same id is replaced."""
+    return grants.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]))

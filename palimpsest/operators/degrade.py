@@ -40,3 +40,8 @@ def escalation(rates: DataFrame, high: float = HIGH, low: float = LOW) -> DataFr
     event = F.when(enough & (F.col("rate") >= high), True).when(enough & (F.col("rate") <= low), False)
     w = Window.partitionBy("tenant_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return rates.withColumn("escalated", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(False)))
+
+
+def lifetime_counts(calls: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """Calls of each tenant in all, and how many had each flag."""
+    return calls.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])

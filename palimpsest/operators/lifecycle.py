@@ -191,3 +191,9 @@ def parse_raw(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     parsed = raw.withColumn("payload", F.from_json("raw_text", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("payload").isNull() | F.col("payload._bad").isNotNull()
     return parsed.where(~bad), parsed.where(bad).drop("payload")
+
+
+def inferred_to_state(version: DataFrame) -> DataFrame:
+    """Inferred versions that were taken for events become states; adds changed."""
+    which = F.coalesce((F.col("provenance") == "inferred") & (F.col("temporal_class") == "event"), F.lit(False))
+    return version.withColumn("changed", which).withColumn("temporal_class", F.when(which, "state").otherwise(F.col("temporal_class")))

@@ -27,12 +27,13 @@ def lexical_matches(queries: DataFrame, chunks: DataFrame, language: str = "simp
     """(query_id, chunk_id, ts_rank) for chunks of the query's tenant that hold all its lexemes.
 
     queries: query_id, tenant_id, terms (lexemes). chunks: tenant_id, chunk_id, text. A query without terms matches
-    nothing, nor does a null text. Terms are spread over an inverted list of positions and counted back.
+    nothing, nor does a null text. Terms are spread over an inverted list of positions and counted back; positions are
+    sets, so rows delivered twice do no harm and no text is shuffled to remove them.
     """
     terms = queries.select("query_id", "tenant_id", F.array_distinct(F.filter("terms", lambda t: t.isNotNull())).alias("terms")).where(F.size("terms") > 0)
     wanted = terms.select("query_id", "tenant_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     postings = chunks.select("tenant_id", "chunk_id", F.posexplode(lexemes(F.col("text"), language)).alias("position", "term"))
-    hits = postings.join(wanted, ["tenant_id", "term"]).groupBy("query_id", "n_terms", "chunk_id", "term").agg(F.sort_array(F.collect_list(F.col("position") + 1)).alias("positions"))
+    hits = postings.join(wanted, ["tenant_id", "term"]).groupBy("query_id", "n_terms", "chunk_id", "term").agg(F.sort_array(F.collect_set(F.col("position") + 1)).alias("positions"))
     per = hits.groupBy("query_id", "n_terms", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", "positions"))).alias("found"))
     return per.where(F.size("found") == F.col("n_terms")).select("query_id", "chunk_id", F.round(lexical_rank(F.transform("found", lambda f: f["positions"])), 6).alias("ts_rank"))
 
@@ -240,6 +241,13 @@ def overlap_reranker(query: str, texts: list[str]) -> list[float]:
     return [len(words & set(re.findall(r"[^\W_]+", t.lower()))) / len(words) if words else 0.0 for t in texts]
 
 
+def generation_tuning(runs: DataFrame, configs: DataFrame) -> DataFrame:
+    """(tenant_id, generation, params): the parameters that each derived generation is searched with. A configuration of
+    another tenant is none; a generation without a configuration has null parameters."""
+    c = configs.select("tenant_id", F.col("id").alias("config_id"), "params")
+    return runs.select("tenant_id", "generation", "config_id").join(c, ["tenant_id", "config_id"], "left").select("tenant_id", "generation", "params")
+
+
 def merge_local_live(items: DataFrame, now: Column, sources: list[str] | None = None, limit: int = 8) -> DataFrame:
     """Local and live items ranked as one list per query.
 

@@ -41,3 +41,9 @@ def feed_page(feed: DataFrame, cursors: DataFrame, limit: int = 50) -> DataFrame
     w = Window.partitionBy("tenant_id").orderBy("feed_seq")
     page = feed.join(cursors, "tenant_id").where(F.col("feed_seq") > F.col("after")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
     return page.withColumn("next_cursor", F.max("feed_seq").over(Window.partitionBy("tenant_id"))).drop("nth", "after")
+
+
+def withheld(fetched: DataFrame, visible: DataFrame) -> DataFrame:
+    """(tenant_id, withheld): rows of a timeline that access keeps back."""
+    gone = fetched.join(visible.select("document_id").distinct(), "document_id", "left_anti")
+    return fetched.select("tenant_id").distinct().join(gone.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("withheld")), "tenant_id", "left").fillna(0, ["withheld"])

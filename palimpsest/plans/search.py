@@ -30,6 +30,7 @@ class Batch:
 
     def __init__(self, spark: SparkSession, root: str):
         self.corpus = C.load(spark, root)
+        self.texts = table(spark, root, "memory_chunk").select("tenant_id", F.col("id").alias("chunk_id"), "text")
         feed = table(spark, root, "feed_entry").where(F.col("feed_seq") % 50 == 0).dropDuplicates(["feed_seq"])
         words = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         plain = F.filter(words, lambda w: (w == F.lower(w)) & (F.length(w) >= 4) & ~w.rlike("[0-9]"))
@@ -37,7 +38,7 @@ class Batch:
         self.rows = C.search_rows(self.corpus)
 
     def matches(self):
-        return R.lexical_matches(self.queries, self.corpus.chunk.select("tenant_id", F.col("id").alias("chunk_id"), "text"))
+        return R.lexical_matches(self.queries, self.texts)
 
     def lexical(self):
         return R.lexical_topk(self.matches(), self.rows, LIMIT)
@@ -222,7 +223,7 @@ def lexical_english(spark, root):
     from palimpsest.functions.text import english_lexemes
 
     q = b.queries.withColumn("terms", english_lexemes(F.col("terms")))
-    return R.lexical_matches(q, b.corpus.chunk.select("tenant_id", F.col("id").alias("chunk_id"), "text"), "english")
+    return R.lexical_matches(q, b.texts, "english")
 
 
 def mmr_rerank(spark, root):

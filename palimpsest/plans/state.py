@@ -207,6 +207,19 @@ def degrade_hysteresis(spark, root):
     return degrade.escalation(degrade.rolling_rates(_calls(spark, root), swing)).select("tenant_id", "seq", "escalated")
 
 
+def degrade_lifetime(spark, root):
+    return degrade.lifetime_counts(_calls(spark, root), {"dense_unavailable": F.col("event_type") == "error", "live_timeout": F.col("event_type") == "click"})
+
+
+def inferred_to_state(spark, root):
+    return M.inferred_to_state(C.load(spark, root).version).select("id", "temporal_class", "changed")
+
+
+def timeline_withheld(spark, root):
+    c = C.load(spark, root)
+    return timeline.withheld(timeline.timeline(c.document, c.version, 100), acl_filter(spark, root).where("principal_id = 'u1'"))
+
+
 def chunk_token_recursive(spark, root):
     docs = table(spark, root, "documents").select("doc_id", F.lit(0).alias("ordinal"), "text", F.lit(None).cast("string").alias("role"))
     return chunker.rechunk(docs, "doc_id")
@@ -240,7 +253,7 @@ QUERIES = {
     for f in (
         access_tags_resolve, acl_filter, audience_split, share_grants, timeline_list, timeline_visible, feed_rows, feed_page, feed_exclude_generator, content_hash, model_key, raw_dedupe, add_defaults, scd2_versions, capture_batch,
         latest_active, owner_lookup, ephemeral_sweep, deprecate, tombstone, hard_delete_cascade, set_retention, entity_upsert, edge_upsert, transform_next_version, promote_swap, transform_progress, degrade_rolling_rate,
-        degrade_hysteresis, chunk_token_recursive, distill_tick,
+        degrade_hysteresis, degrade_lifetime, inferred_to_state, timeline_withheld, chunk_token_recursive, distill_tick,
     )
 }
 
@@ -322,6 +335,9 @@ SQL = {
         """select run_id, raw_count, version_count, failed, case when failed > 0 then 'failed' else 'completed' end as status, case when failed > 0 then failed || '/' || raw_count || ' raw_capture row(s) failed: ' || f end as error from (
         select tenant_id as run_id, count(*) as raw_count, count(*) filter (where status <> 'tombstoned') as version_count, count(*) filter (where status = 'tombstoned') as failed, arg_min('gone ' || id, feed_seq) filter (where status = 'tombstoned') as f from ver group by 1)"""
     ),
+    "degrade_lifetime": "select (user_id % 5)::varchar as tenant_id, count(*) as total, count(*) filter (where event_type = 'error') as dense_unavailable, count(*) filter (where event_type = 'click') as live_timeout from (select distinct event_id, user_id, event_type from events) group by 1",
+    "inferred_to_state": chain("select id, case when c then 'state' else temporal_class end as temporal_class, c as changed from (select *, coalesce(provenance = 'inferred' and temporal_class = 'event', false) as c from ver)"),
+    "timeline_withheld": chain(f"select tenant_id, count(*) filter (where document_id not in (select document_id from ({_ACL}) where principal_id = 'u1')) as withheld from ({_TIMELINE}) where rank <= 100 group by 1"),
     "degrade_rolling_rate": f"select tenant_id, seq, samples, round(rate, 6) as rate from ({_RATE % chr(39).join(['event_type = ', 'error', ''])})",
     "degrade_hysteresis": """select tenant_id, seq, coalesce(last_value(case when samples >= 32 and rate >= 0.2 then true when samples >= 32 and rate <= 0.1 then false end ignore nulls) over (partition by tenant_id order by seq rows between unbounded preceding and current row), false) as escalated
         from ("""

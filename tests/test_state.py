@@ -291,3 +291,25 @@ def test_plane(spark, tmp_path):
     with pytest.raises(ValueError):
         m.store.bootstrap("english")
     m.close()
+
+
+def test_reranking_dialects():
+    from palimpsest.sources import reranking
+
+    assert reranking.response_scores("tei", [{"index": 1, "score": 0.2}, {"index": 0, "score": 0.9}], 2) == [0.9, 0.2]
+    assert reranking.response_scores("cohere", {"results": [{"index": 0, "relevance_score": 0.5}]}, 1) == [0.5] == reranking.response_scores("voyage", {"data": [{"index": 0, "relevance_score": 0.5}]}, 1)
+    assert reranking.request_body("voyage", "m", "q", ["a"])[1] == {"model": "m", "query": "q", "documents": ["a"]}
+    assert reranking.window("BAAI/bge-reranker-v2-m3") == 8192 and reranking.window(None) == 512
+    for bad in ([{"index": 2, "score": 1}], [{"index": 0, "score": 1}]):
+        with pytest.raises(ValueError):
+            reranking.response_scores("tei", bad, 2)
+
+
+def test_grants_and_tuning(spark):
+    from palimpsest.operators.search import generation_tuning
+
+    g = spark.createDataFrame([("1", "allow"), ("2", "allow")], "id string, effect string")
+    assert {(r.id, r.effect) for r in A.put_grants(g, spark.createDataFrame([("2", "deny"), ("3", "allow")], "id string, effect string")).collect()} == {("1", "allow"), ("2", "deny"), ("3", "allow")}
+    runs = spark.createDataFrame([("t", "r1", "c1"), ("t", "r2", "c2")], "tenant_id string, generation string, config_id string")
+    configs = spark.createDataFrame([("t", "c1", "{}"), ("u", "c2", "{}")], "tenant_id string, id string, params string")
+    assert {(r.generation, r.params) for r in generation_tuning(runs, configs).collect()} == {("r1", "{}"), ("r2", None)}
