@@ -279,6 +279,22 @@ class Memory:
         self.store.commit(replace={"version": after})
         return {"changed": n}
 
+    def share(self, tenant_id: str, principal_id: str, document_id: str, principals: Sequence[str]) -> dict:
+        """Lets peers find a document: tags it with its own tag and writes a grant on that tag for each of them."""
+        self._owned(tenant_id, principal_id, document_id)
+        named = self.spark.createDataFrame([(tenant_id, document_id, principal_id, list(principals))], "tenant_id string, document_id string, sharer string, principals array<string>")
+        new = access.share_grants(named).cache()
+        tags = named.select("tenant_id", F.col("document_id").alias("id"), F.array(access.document_tag(F.col("document_id"))).alias("tags"))
+        grants = access.put_grants(self.store.read("grant"), T.conform(new, "grant"))
+        self.store.commit(replace={"document": lifecycle.append_tags(self.store.read("document"), tags), "grant": grants})
+        n = new.count()
+        new.unpersist()
+        return {"written": n}
+
+    def grants(self) -> DataFrame:
+        """The grants the store holds."""
+        return self.store.read("grant")
+
     # re-derivation ----------------------------------------------------------------------------------------------------
 
     def create_transform_config(self, tenant_id: str, name: str, params: dict) -> dict:
@@ -291,7 +307,7 @@ class Memory:
     def list_transform_configs(self, tenant_id: str) -> list[dict]:
         return [r.asDict() for r in self.store.read("transform_config").where(F.col("tenant_id") == tenant_id).orderBy(F.desc("created_at"), "id").collect()]
 
-    def run_transform(self, tenant_id: str, config_id: str, adapter: str | None = None) -> dict:
+    def run_transform(self, tenant_id: str, config_id: str, adapter: str | None = None, since: datetime | None = None, until: datetime | None = None) -> dict:
         """Derives a new generation from the raw captures under a configuration. Captures that don't parse are counted and
         don't stop the others; documents that were tombstoned stay out, and document rows are not touched."""
         config = self.store.read("transform_config").where((F.col("tenant_id") == tenant_id) & (F.col("id") == config_id)).head(1)
@@ -299,9 +315,7 @@ class Memory:
             raise V.PlaneError(404, "no such configuration")
         caps = json.loads(config[0].params).get("chunk", {})
         run, now = f"trun_{uuid.uuid4().hex[:22]}", self.clock()
-        raw = self.store.read("raw_capture").where(F.col("tenant_id") == tenant_id)
-        if adapter:
-            raw = raw.where(F.col("adapter") == adapter)
+        raw = lifecycle.raw_scan(self.store.read("raw_capture"), tenant_id, adapter, since, until)
         raw = raw.withColumn("seq", F.row_number().over(_order("tenant_id", "adapter", "external_ref")))
         good, bad = lifecycle.parse_raw(raw, "title string, kind string, external_ref string, attributes string, text string, access_tags array<string>, principal string, generator_agent_id string, provenance string, temporal_class string, valid_until timestamp_ntz")
         dead = self.store.read("version").where("status = 'tombstoned'").select("tenant_id", "document_id").distinct()

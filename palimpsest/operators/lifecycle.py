@@ -186,6 +186,25 @@ def run_progress(rows: DataFrame) -> DataFrame:
     )
 
 
+def raw_scan(raw: DataFrame, tenant: str, adapter: str | None = None, since=None, until=None) -> DataFrame:
+    """Raw captures of a tenant within a scope, both times inclusive; the predicates reach the scan."""
+    out = raw.where(F.col("tenant_id") == tenant)
+    if adapter is not None:
+        out = out.where(F.col("adapter") == adapter)
+    if since is not None:
+        out = out.where(F.col("fetched_at") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        out = out.where(F.col("fetched_at") <= F.lit(until).cast("timestamp_ntz"))
+    return out
+
+
+def append_tags(document: DataFrame, more: DataFrame) -> DataFrame:
+    """Documents with the tags of `more` (tenant_id, id, tags) added, each once, after their own."""
+    out = document.join(more.select("tenant_id", "id", "tags"), ["tenant_id", "id"], "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("access_tags", F.when(F.col("tags").isNotNull(), F.array_union(F.coalesce("access_tags", none), "tags")).otherwise(F.col("access_tags"))).drop("tags")
+
+
 def parse_raw(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """Raw captures whose payload parses, with the parsed `payload`, and those whose payload doesn't."""
     parsed = raw.withColumn("payload", F.from_json("raw_text", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))

@@ -8,6 +8,7 @@ change of the pointer, not of the data. One writer at a time.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -54,6 +55,8 @@ class SnapshotStore:
 
     def bootstrap(self, fts_language: str = "simple", log=lambda line: None) -> None:
         """Records the settings and which tables exist; done twice it changes nothing. Refuses another text language."""
+        if not re.fullmatch(r"[a-z_]{1,63}", fts_language):
+            raise ValueError(f"not the name of a text language: {fts_language!r}")
         p = self._read_pointer()
         have = p["settings"].setdefault("fts_language", fts_language)
         if have != fts_language:

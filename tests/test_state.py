@@ -269,6 +269,8 @@ def test_plane(spark, tmp_path):
     with pytest.raises(V.PlaneError) as e:
         m.deprecate_version("t", "bob", two["version_id"])
     assert e.value.code == 403
+    assert m.share("t", "alice", one["document_id"], ["bob", "alice", " "])["written"] == 1
+    assert one["document_id"] in {h["document_id"] for h in m.search("t", "bob", "renewal", sources=["local"], grants=m.grants())["hits"]}
     config = m.create_transform_config("t", "small", {"chunk": {"max_tokens": 3, "min_tokens": 1, "overlap_tokens": 0}})
     assert config["version"] == 1 and len(m.list_transform_configs("t")) == 1
     run = m.run_transform("t", config["id"])
@@ -290,6 +292,8 @@ def test_plane(spark, tmp_path):
             bad()
     with pytest.raises(ValueError):
         m.store.bootstrap("english")
+    with pytest.raises(ValueError):
+        m.store.bootstrap("x; drop")
     m.close()
 
 
