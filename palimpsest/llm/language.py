@@ -37,6 +37,8 @@ NAMES = [*LANGUAGES, ""]
 NONE = len(LANGUAGES)
 #: Documents of each labelled language that the field is fitted on, about; their words at most.
 FIT_DOCUMENTS, FIT_WORDS = 60, 300_000
+#: Longer texts are not taken into the sample, which bounds its size on the driver.
+FIT_CHARS = 20_000
 #: Weights of the feature table, and rounds of fitting.
 FEATURES, ROUNDS = 1 << 15, 20
 #: Words of a chain at most; longer lines are cut.
@@ -347,7 +349,7 @@ class Labeller:
 
 def fit_sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", documents: int = FIT_DOCUMENTS) -> Field:
     """The field fitted on about `documents` rows of each language named by the labels, chosen by a hash of the id."""
-    named = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), named_language(F.col(label)).alias("lang")).where("lang is not null and text <> ''")
+    named = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), named_language(F.col(label)).alias("lang")).where("lang is not null and text <> ''").where(F.length("text") <= FIT_CHARS)
     have = {r.lang: r.n for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not have:
         return fit([], [])
