@@ -14,7 +14,7 @@ from palimpsest.functions.text import snippet as snippet_of
 from palimpsest.functions.vectors import usable
 from palimpsest.operators import corpus as C
 from palimpsest.operators import search as R
-from palimpsest.runtime import table
+from palimpsest.runtime import durable, table
 
 NOW = "2024-12-01 00:00:00"
 K, DIMS = 8, 64
@@ -30,6 +30,7 @@ class Batch:
 
     def __init__(self, spark: SparkSession, root: str):
         self.corpus = C.load(spark, root)
+        self._candidates = None
         self.texts = table(spark, root, "memory_chunk").select("tenant_id", F.col("id").alias("chunk_id"), "text")
         feed = table(spark, root, "feed_entry").where(F.col("feed_seq") % 50 == 0).dropDuplicates(["feed_seq"])
         words = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -56,7 +57,10 @@ class Batch:
         return R.fuse(self.lexical(), self.dense())
 
     def candidates(self):
-        return R.attach_corroboration(self.fused().join(self.rows, "chunk_id"), self.corpus.edge)
+        """At most two channels' candidates per query; later stages read them several times, so they are written once."""
+        if self._candidates is None:
+            self._candidates = durable(R.attach_corroboration(self.fused().join(self.rows, "chunk_id"), self.corpus.edge))
+        return self._candidates
 
     def fallback(self):
         return R.dedupe_documents(self.candidates(), S.authority_weighted(F.col("fused"), F.col("authority"))).where(F.col("rank") <= K)
