@@ -4,8 +4,9 @@ Words are labelled with a language or with none (names, code, noise). Features o
 letter n-grams, its script and its capital; transitions are learned, apart for neighbours within a sentence and across
 its end. The field is fitted on a bounded sample of labelled documents, whose labels may be wrong: before fitting, the
 sample's sentences are relabelled by a few rounds of word counting, so that a wrong label is outvoted. Forward-backward
-runs over all chains of a block of texts in step. A sentence gets the language of most of its words, with their mean
-posterior as confidence; neighbouring sentences of one language form a segment.
+runs over all chains of a block of texts in step. Segments are runs of words with one label, with the mean posterior of
+their words as confidence: a sentence that changes its language gives several, neighbouring sentences of one language
+give one. Texts in a language outside `LANGUAGES` are labelled with one of these or with none.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.scan import LETTER, NUMBER, SPACE, Block, blocks, class_table, distinct_slices, ragged
@@ -35,15 +36,18 @@ LANGUAGES = {
 }
 NAMES = [*LANGUAGES, ""]
 NONE = len(LANGUAGES)
-#: Documents of each labelled language that the field is fitted on, about; their words at most.
+#: Documents of each labelled language that the field is fitted on, if there are as many; their words at most.
 FIT_DOCUMENTS, FIT_WORDS = 60, 300_000
+#: So many times the documents wanted are drawn by a hash; those with the smallest hashes stay.
+OVERSAMPLE = 5
 #: Longer texts are not taken into the sample, which bounds its size on the driver.
 FIT_CHARS = 20_000
 #: Weights of the feature table, and rounds of fitting.
 FEATURES, ROUNDS = 1 << 15, 20
-#: Words of a chain at most; longer lines are cut.
-CHAIN = 256
-#: A sentence has a language if at least so many of its words have it, and this share of its words that aren't none.
+#: Words of a chain; a longer line is worked through in pieces that see so many words of the line on either side, after
+#: which the labels no longer depend on what lies beyond.
+CHAIN, HALO = 256, 64
+#: A run of one language has at least so many words, and this share of the labelled words in its stretch.
 LEAST_WORDS, LEAST_SHARE = 3, 0.7
 #: Ends of sentences: these before white space or the end of the text, and these anywhere (fixed values).
 STOPS, STOPS_ANYWHERE = ".?!…", "。？！"
@@ -65,13 +69,13 @@ def named_language(label: Column) -> Column:
 
 @dataclass
 class Words:
-    """Words of a block in order: code-point start and end, text, sentence and chain of each; each distinct word once."""
+    """Words of a block in order: code-point start and end, text, sentence and line of each; each distinct word once."""
 
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
     sentence: np.ndarray
-    chain: np.ndarray
+    line: np.ndarray
     uid: np.ndarray
     distinct: list[str]
     sentence_start: np.ndarray
@@ -128,19 +132,29 @@ def find_words(b: Block) -> Words:
     start, end = start[keep], end[keep]
     sentence, line = sentence_of[start], line_of[start]
     if len(start):
-        new_line = np.append(True, line[1:] != line[:-1])
-        head = np.maximum.accumulate(np.where(new_line, np.arange(len(start)), 0))
-        cut = new_line | ((np.arange(len(start)) - head) % CHAIN == 0)
-        chain = np.cumsum(cut) - 1
         pick, uid = distinct_slices(b.data, b.byte[start], b.byte[end])
         raw = b.data.tobytes()
         distinct = [raw[i:j].decode() for i, j in zip(b.byte[start[pick]].tolist(), b.byte[end[pick]].tolist(), strict=True)]
     else:
-        chain, uid, distinct = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        uid, distinct = np.zeros(0, np.int64), []
     begins = np.flatnonzero(np.append(True, stop[:-1])) if n else np.zeros(0, np.int64)
     ends = np.append(begins[1:], n)
     doc = np.searchsorted(b.doc, start, "right") - 1
-    return Words(start, end, doc, sentence, chain, uid, distinct, begins, ends)
+    return Words(start, end, doc, sentence, line, uid, distinct, begins, ends)
+
+
+def chains(line: np.ndarray, halo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, chain, own) for each place of the chains that lines are cut into: own is false for the words of the halo."""
+    n = len(line)
+    head = np.flatnonzero(np.append(True, line[1:] != line[:-1])[:n])
+    stop = np.append(head[1:], n)
+    pieces = -(-(stop - head) // CHAIN)
+    head, stop = np.repeat(head, pieces), np.repeat(stop, pieces)
+    s = head + CHAIN * ragged(np.zeros(len(pieces), np.int64), pieces)
+    e = np.minimum(s + CHAIN, stop)
+    a, b = np.maximum(s - halo, head), np.minimum(e + halo, stop)
+    word, chain = ragged(a, b - a), np.repeat(np.arange(len(a)), b - a)
+    return word, chain, (word >= s[chain]) & (word < e[chain])
 
 
 def features(word: str) -> list[int]:
@@ -149,7 +163,7 @@ def features(word: str) -> list[int]:
     edged = f"^{w}$"
     names = [f"w{w}", f"c{word[:1].isupper()}", f"u{ord(w[0]) >> 7}"]
     names += [f"p{w[:n]}" for n in (1, 2, 3)] + [f"s{w[-n:]}" for n in (1, 2, 3)]
-    names += [edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)][:48]
+    names += [edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)]
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
@@ -276,8 +290,9 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Field:
     scale = 1.0 / np.sqrt(size)[:, None]
     params = [np.zeros((len(used), k)), np.zeros(k), np.zeros((k, k)), np.zeros((k, k))]
     slot = np.searchsorted(used, flat)
-    head = np.flatnonzero(np.append(True, w.chain[1:] != w.chain[:-1]))
-    inside = np.append(False, w.chain[1:] == w.chain[:-1])
+    _, chain, _ = chains(w.line, 0)
+    head = np.flatnonzero(np.append(True, chain[1:] != chain[:-1]))
+    inside = np.append(False, chain[1:] == chain[:-1])
     crosses = np.append(False, w.sentence[1:] != w.sentence[:-1])
     seen_start = np.bincount(gold[head], minlength=k)
     seen = [_count(gold[np.flatnonzero(m) - 1], gold[m], None, (k, k)) for m in (inside & ~crosses, inside & crosses)]
@@ -288,7 +303,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Field:
     n = len(gold)
     for t in range(1, rounds + 1):
         emit = np.add.reduceat(params[0][slot], ends, axis=0) * scale
-        post, starts, inner, across = forward_backward(emit[w.uid], w.chain, w.sentence, Field(params[0], *params[1:]), expect=True)
+        post, starts, inner, across = forward_backward(emit[w.uid], chain, w.sentence, Field(params[0], *params[1:]), expect=True)
         expected = np.column_stack([np.bincount(w.uid, post[:, j], len(size)) for j in range(k)])
         error = (seen_word - expected) / np.sqrt(times)[:, None]  # common words don't drown the others
         grads = [np.add.reduceat((error * scale)[by_feature], cuts, axis=0), (seen_start - starts) / len(head), *((s - x) / n for s, x in zip(seen, (inner, across), strict=True))]
@@ -325,36 +340,75 @@ class Labeller:
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
         return self.table[np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))]
 
-    def sentences(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        """The sentences of a block that have a language: doc (row), start and end (code points within the text), lang
-        (number), words that have it, and their summed posterior."""
+    def posteriors(self, w: Words) -> np.ndarray:
+        """Posterior of each label for each word."""
+        word, chain, own = chains(w.line, HALO)
+        return forward_backward(self._emissions(w.distinct)[w.uid[word]], chain, w.sentence[word], self.field)[own]
+
+    def runs(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        """The runs of one language of a block, in order: doc (row), start and end (code points within the text), lang
+        (number), words that have it, their summed posterior, and whole: whether it is the only one of its sentence.
+
+        Words of none don't break a run. Within a sentence, runs of one word, then those of fewer than LEAST_WORDS, are
+        dissolved, which joins the runs around them; a run ends where the next one or the next sentence starts.
+        """
         b = Block(data, offsets)
         w = find_words(b)
+        none = {x: np.zeros(0, np.int64) for x in ("doc", "start", "end", "lang", "words")} | {"sure": np.zeros(0), "whole": np.zeros(0, bool)}
         if not len(w.start):
-            return {x: np.zeros(0, np.int64) for x in ("doc", "start", "end", "lang", "words")} | {"sure": np.zeros(0)}
-        post = forward_backward(self._emissions(w.distinct)[w.uid], w.chain, w.sentence, self.field)
+            return none
+        post = self.posteriors(w)
         label = post.argmax(1)
-        sentence, sid = np.unique(w.sentence, return_inverse=True)
-        n = len(sentence)
-        votes = _count(sid, label, None, (n, NONE + 1))[:, :NONE]
-        lang, words = votes.argmax(1), votes.max(1)
-        mine = label == lang[sid]
-        sure = np.bincount(sid, np.where(mine, post[np.arange(len(label)), label], 0), n)
-        doc = w.doc[np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))]
-        keep = (words >= LEAST_WORDS) & (words >= LEAST_SHARE * votes.sum(1))
-        s = sentence[keep]
-        base = b.doc[doc[keep]]
-        return {"doc": doc[keep], "start": w.sentence_start[s] - base, "end": w.sentence_end[s] - base, "lang": lang[keep], "words": words[keep], "sure": sure[keep]}
+        labelled = np.flatnonzero(label < NONE)
+        at = labelled
+        for least in range(1, LEAST_WORDS + 1):
+            s, lang = w.sentence[at], label[at]
+            run = np.cumsum(np.append(True, (s[1:] != s[:-1]) | (lang[1:] != lang[:-1]))[: len(at)]) - 1
+            size = np.bincount(run)
+            long = size >= least
+            at, run = at[long[run]], run[long[run]]
+        if not len(at):
+            return none
+        s, lang = w.sentence[at], label[at]
+        head = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (lang[1:] != lang[:-1])))
+        words = np.diff(np.append(head, len(at)))
+        sure = np.add.reduceat(post[at, lang], head)
+        word, s, lang = at[head], s[head], lang[head]
+        m = len(head)
+        opens, closes = np.append(True, s[1:] != s[:-1]), np.append(s[1:] != s[:-1], True)
+        # which run's stretch each labelled word lies in; the first run of a sentence also has the words before it
+        r = np.searchsorted(word, labelled, "right") - 1
+        sentence = w.sentence[labelled]
+        r = np.where((r >= 0) & (s[r] == sentence), r, np.minimum(r + 1, m - 1))
+        owned = np.bincount(r[s[r] == sentence], minlength=m)
+        start = np.where(opens, w.sentence_start[s], w.start[word])
+        end = np.where(closes, w.sentence_end[s], np.append(w.start[word[1:]], 0))
+        keep = words >= LEAST_SHARE * owned
+        doc = w.doc[word]
+        base = b.doc[doc]
+        out = {"doc": doc, "start": start - base, "end": end - base, "lang": lang, "words": words, "sure": sure, "whole": opens & closes}
+        return {k: v[keep] for k, v in out.items()}
+
+
+def sample_rate(rows: int, documents: int) -> int:
+    """The hash, as a number from 0 to 2**63 - 1, below which OVERSAMPLE times `documents` of `rows` lie, about."""
+    return min((1 << 63) - 1, (OVERSAMPLE * documents << 63) // max(1, rows))
 
 
 def fit_sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", documents: int = FIT_DOCUMENTS) -> Field:
-    """The field fitted on about `documents` rows of each language named by the labels, chosen by a hash of the id."""
+    """The field fitted on `documents` rows of each language named by the labels (all of a language with fewer): those
+    with the smallest hashes of id and text among the texts of up to FIT_CHARS. A table without any such row gives a field
+    that knows nothing; a drawing that misses all of them is an error."""
     named = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), named_language(F.col(label)).alias("lang")).where("lang is not null and text <> ''").where(F.length("text") <= FIT_CHARS)
-    have = {r.lang: r.n for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    have = {r.lang: r.n for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a language
     if not have:
         return fit([], [])
-    rate = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, int(min(1.0, documents / n) * (1 << 20)))]), F.col("lang"))
-    rows = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate).orderBy(F.xxhash64("id"), "id").limit(documents * len(LANGUAGES) * 2).collect()
+    rate = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, sample_rate(n, documents))])
+    drawn = named.withColumn("h", F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 63) - 1))).where(F.col("h") <= F.try_element_at(rate, F.col("lang")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # each task keeps its first `documents`
+    rows = sorted(drawn.withColumn("nth", first).where(F.col("nth") <= documents).select("h", "text", "lang").collect())
+    if not rows:
+        raise RuntimeError(f"no labelled text was drawn of {sum(have.values())}")
     texts, labels, words = [], [], 0
     for r in rows:
         words += len(r.text) // 5
@@ -367,8 +421,8 @@ def fit_sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label:
 
 def label_segments(df: DataFrame, field: Field, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The segments of every text: id, columns of `keep`, segment (from 0), start, end (code points), lang, confidence,
-    sentences, words. Sentences without a language are in no segment. A null, empty or wordless text has no segments.
-    Repeated rows give their segments twice."""
+    sentences (whole ones in it), words. A stretch without a language is in no segment. A null, empty or wordless text has
+    no segments. Repeated rows give their segments twice."""
     from pyspark.sql import types as T
 
     narrow = df.select(F.col(id_col).alias("k0"), *[F.col(c).alias(f"k{i + 1}") for i, c in enumerate(keep)], F.col(text).alias("t"))
@@ -383,7 +437,7 @@ def label_segments(df: DataFrame, field: Field, id_col: str = "doc_id", text: st
             for row, _, data, offsets in blocks(b.column("t")):
                 if not len(data):
                     continue
-                s = labeller.sentences(data, offsets)
+                s = labeller.runs(data, offsets)
                 m = len(s["doc"])
                 if not m:
                     continue
@@ -402,7 +456,7 @@ def label_segments(df: DataFrame, field: Field, id_col: str = "doc_id", text: st
                         pa.array(end.astype(np.int32)),
                         names.take(pa.array(s["lang"][at])),
                         pa.array(np.add.reduceat(s["sure"], at) / words),
-                        pa.array(np.diff(np.append(at, m)).astype(np.int32)),
+                        pa.array(np.add.reduceat(s["whole"], at, dtype=np.int32)),
                         pa.array(words.astype(np.int32)),
                     ],
                     schema=None,

@@ -15,7 +15,7 @@ def _segments(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    s = _segments(spark, root)
+    s = _segments(spark, root).where("sentences > 0")
     return s.where(~F.col("lang").eqNullSafe(L.named_language(F.col("label")))).select("doc_id", "lang").distinct()
 
 

@@ -182,15 +182,41 @@ def test_held_out_sentences_and_mixed_documents():
     for i, (_, text, _) in enumerate(corpus(30, 9)):
         truth = max(SENTENCES, key=lambda k: sum(w in SENTENCES[k].split() for w in text.lower().replace(".", "").split()))
         for _, _, data, offsets in L.blocks(pa.array([text])):
-            s = labeller.sentences(data, offsets)
-            right += sum(L.NAMES[x] == truth for x in s["lang"])
+            s = labeller.runs(data, offsets)
+            right += sum(L.NAMES[x] == truth for x in s["lang"][s["whole"]])
             total += 6
     assert right >= 0.97 * total
     mixed = "The meeting was moved because every customer asked about that invoice.\n\nDie Besprechung wurde verschoben weil jeder Kunde nach dieser Rechnung fragte.\n```\nfor i in range(3):\n```\n12 34 {\"k\": [1]} Xyzq"
     for _, _, data, offsets in L.blocks(pa.array([mixed])):
-        s = labeller.sentences(data, offsets)
-        assert [L.NAMES[x] for x in s["lang"]] == ["en", "de"]
+        s = labeller.runs(data, offsets)
+        assert [L.NAMES[x] for x in s["lang"]] == ["en", "de"] and s["whole"].all()
         assert mixed[s["start"][1] : s["end"][1]].strip().startswith("Die Besprechung")
+    switched = "The meeting was moved because every Kunde nach dieser Rechnung fragte jeder. " + " ".join(["the meeting was moved because"] * 100)
+    for _, _, data, offsets in L.blocks(pa.array([switched])):
+        s = labeller.runs(data, offsets)
+        assert [L.NAMES[x] for x in s["lang"]] == ["en", "de", "en"] and s["whole"].tolist() == [False, False, True]
+        assert switched[s["start"][1] : s["end"][1]].startswith("Kunde") and s["end"][1] == switched.index("fragte jeder.") + 13
+        w = L.find_words(L.Block(data, offsets))
+        cut = labeller.posteriors(w)
+        whole = L.forward_backward(labeller._emissions(w.distinct)[w.uid], w.line, w.sentence, field)
+        assert len(cut) > 2 * L.CHAIN - 20 and np.abs(cut - whole).max() < 1e-4
+
+
+def test_sample_at_any_size(spark, monkeypatch):
+    assert all(L.sample_rate(n, 60) / 2**63 * n == pytest.approx(300, rel=1e-3) for n in (10**3, 62_900_000, 10**9, 10**15))
+    assert L.sample_rate(10, 60) == 2**63 - 1
+    df = spark.createDataFrame(corpus(60), "doc_id long, text string, lang string")
+    taken = []
+    monkeypatch.setattr(L, "fit", lambda t, label: taken.append(label))
+    L.fit_sample(df, documents=7)
+    assert sorted(taken[0]) == sorted(list(SENTENCES) * 7)
+    monkeypatch.setattr(L, "sample_rate", lambda n, d: -1)
+    with pytest.raises(RuntimeError):
+        L.fit_sample(df)
+
+
+def test_long_words_keep_all_features():
+    assert len(L.features("ab" * 200)) > 700
 
 
 def test_segments_bad_rows(spark):
