@@ -95,9 +95,12 @@ def clustered(n, dims, seed):
     return x
 
 
-@pytest.mark.parametrize("shard_rows", [100_000, 400])
-def test_neighbours_recall(spark, shard_rows, monkeypatch):
-    monkeypatch.setattr(K, "CENTRES", 64)
+@pytest.mark.parametrize("shard_rows,fan_out,broadcast", [(100_000, 256, 1 << 26), (400, 256, 1 << 26), (200, 4, 0)])
+def test_neighbours_recall(spark, shard_rows, fan_out, broadcast, monkeypatch):
+    """In one cell, in cells of one level, and in cells of several levels whose trees meet the vectors in a shuffle."""
+    monkeypatch.setattr(K, "FIT_LEAST", 2048)
+    monkeypatch.setattr(K, "FAN_OUT", fan_out)
+    monkeypatch.setattr(K, "BROADCAST_BYTES", broadcast)
     x = clustered(3000, 64, 3)
     rows = [("t", f"k{i:05}", v.tolist(), None) for i, v in enumerate(x)] + [("u", "u1", x[0].tolist(), "q"), ("u", "u2", (x[0] * 1e3).tolist(), "q"), ("w", "w1", x[0].tolist(), None)]
     bad = [("t", "b0", None, None), ("t", "b1", [1.0], None), ("t", "b2", [0.0] * 64, None), ("t", "b3", [float("nan")] * 64, None), ("t", "b4", [float("inf")] * 64, None), ("t", None, x[0].tolist(), None), rows[5], rows[5]]
@@ -121,6 +124,18 @@ def test_neighbours_recall(spark, shard_rows, monkeypatch):
     assert K.nearest(df.limit(0), "id", "v", ["tenant"]).collect() == []
 
 
+def test_copies_of_one_vector_are_shared_out(spark):
+    rnd = np.random.default_rng(8)
+    x = np.vstack([np.tile(rnd.normal(size=64), (900, 1)), rnd.normal(size=(900, 64))]).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    level = K.fit_level(u, np.arange(len(u)) * 7919, len(u), 200, 5)
+    home, best = level.near_parts(u, np.arange(len(u)) * 7919)
+    assert len(set(home[:900])) == 5 and np.bincount(home).max() < 450
+    df = spark.createDataFrame([(f"k{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>")
+    got = K.nearest(df, "id", "v", [], shard_rows=200).where("id < 'k0900'").collect()
+    assert len(got) == 4500 and all(r.cosine > 0.9999 and r.neighbour < "k0900" for r in got)
+
+
 def test_tree_of_copies():
     tree = K.Tree(np.tile(np.eye(1, 64, dtype=np.float32), (1000, 1)))
     rows, cos = tree.search(tree.x[:3], np.arange(3), 5, 3)
