@@ -5,8 +5,9 @@ later. Band buckets of MinHash values give candidate pairs of keys; their signat
 a pair is dropped as soon as the posterior probability that its similarity reaches the threshold is below the chosen
 miss probability; survivors are verified exactly on their texts. Only keys and signatures are shuffled on the way.
 
-Buckets of very many different sets are not joined with themselves: their members are dealt into blocks, and pairs of
-blocks are verified where they meet, so that only survivors are written.
+Buckets of very many different sets are not joined with themselves: longer bands part their members first, and what is
+still hot then is dealt into blocks that are verified where they meet, so that only survivors are written. These bands
+may miss a pair at the threshold, all of whose buckets are hot, once in 170 besides.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from palimpsest.runtime import durable, stored
 #: Chance that a pair at the threshold shares no band, at most; and that a batch drops a pair that reaches it.
 BAND_MISS, BATCH_MISS = 0.005, 0.001
 #: Values of a signature and of one batch of the sequential comparison; a value is the low byte of a MinHash.
-SIGNATURE, BATCH = 64, 32
+SIGNATURE, BATCH = 64, 16
 #: Bits of a bucket's number. Two buckets that share a number only add candidates, which the comparison drops.
 BUCKET_BITS = 48
-#: Different sets in a bucket from which on it is verified in blocks; keys of a block.
-HOT_BUCKET, BLOCK_KEYS = 2_000, 1_000
-#: Records to verify whose ids are sent to all tasks at most (some 100 bytes each); more take a shuffled join.
+#: Different sets in a bucket from which on it is parted by longer bands, of so many signature bytes more, and then
+#: verified in blocks; keys of a block; keys of which one is looked at to tell hot buckets.
+HOT_BUCKET, SUB_ROWS, BLOCK_KEYS, HEAT = 2_000, 3, 1_000, 16
+#: Records of one set that meet in one place at most, about.
+BLOCK_RECORDS = 1_000
+#: Rows of ids, keys or buckets that are sent to all tasks at most (some 100 bytes each); more take a shuffled join.
 BROADCAST_IDS = 500_000
 #: Keys that a task remembers so as to give each key's bands and signature once (a saving only).
 SEEN = 500_000
@@ -62,7 +66,7 @@ def words(text: str | None) -> list[str]:
 
 
 def elements(text: str | None, kind: Kind) -> frozenset:
-    """The set that stands for a text; empty if the text is left out."""
+    """The set that stands for a text, for one text (`hashed_sets` has it for many); empty if the text is left out."""
     w = words(text)
     if (len(set(w)) if kind.distinct else len(w)) < kind.least:
         return frozenset()
@@ -195,16 +199,49 @@ def _as_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[:, 0], x[:, 1:]
 
 
+def _parted(member: DataFrame, hot_bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of member in buckets that may be joined with themselves, rows (key, bucket, n) of those that hold hot_bucket
+    keys or more, None without any).
+
+    The sizes of buckets are estimated on one key in HEAT; they only decide how a bucket is worked through, and either
+    way gives all its pairs. There are at most keys x bands / hot_bucket hot ones.
+    """
+    rate = max(1, min(HEAT, hot_bucket // 125))
+    seen = member.where(F.pmod(F.xxhash64("key"), F.lit(rate)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * rate).alias("n"))
+    heavy = durable(seen.where(F.col("n") >= hot_bucket))
+    n = heavy.count()
+    if not n:
+        return member, None
+    heavy = F.broadcast(heavy) if n <= BROADCAST_IDS else heavy
+    return member.join(heavy, "bucket", "left_anti"), member.join(heavy, "bucket")
+
+
+def _meeting(cool: DataFrame) -> DataFrame:
+    """Pairs of keys (key_a, key_b), key_a < key_b, that share a bucket; a pair may come out once for each."""
+    # both sides read the same columns behind the same exchange, so that it is made once; a key belongs to one table only
+    once = cool.repartition("bucket").dropDuplicates(["bucket", "key"])
+    left, right = once.select("bucket", F.col("key").alias("key_a")), once.select("bucket", F.col("key").alias("key_b"))
+    return left.join(right, "bucket").where("key_a < key_b").select("key_a", "key_b")
+
+
 def candidate_pairs(sigs: DataFrame, kinds: list[Kind], hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Distinct pairs (tbl, key_a, key_b), key_a < key_b, that share a bucket and survive the Bayesian comparison."""
+    """Distinct pairs (tbl, key_a, key_b), key_a < key_b, that share a bucket and survive the Bayesian comparison.
+
+    The members of a hot bucket are parted again by bands of SUB_ROWS signature values; what is still hot then is dealt
+    into blocks of BLOCK_KEYS, and pairs of blocks are compared where they meet.
+    """
     known = sigs.where("bands is not null")
-    # every use reads the same columns behind the same exchange, so that it is made once; a key belongs to one table only
-    member = known.select("key", F.explode("bands").alias("bucket")).where("bucket is not null").repartition("bucket").dropDuplicates(["bucket", "key"])
-    shared = member.withColumn("n", F.count("key").over(Window.partitionBy("bucket"))).where("n > 1")
-    cool = shared.where(F.col("n") < hot_bucket)
-    left, right = cool.select("bucket", F.col("key").alias("key_a")), cool.select("bucket", F.col("key").alias("key_b"))
-    pairs = left.join(right, "bucket").where("key_a < key_b").select("key_a", "key_b").distinct()
+    member = known.select("key", F.explode("bands").alias("bucket")).where("bucket is not null")
     sig = known.groupBy("key").agg(F.min("sig").alias("sig"))
+    cool, hot = _parted(member, hot_bucket)
+    pairs = _meeting(cool)
+    hottest = None
+    if hot is not None:
+        bands = F.explode(F.sequence(F.lit(0), F.lit(SIGNATURE // SUB_ROWS - 1))).alias("i")
+        values = F.expr(f"substring(sig, 2 + {SUB_ROWS} * i, {SUB_ROWS})")
+        again = hot.join(sig, "key").select("key", "bucket", "sig", bands).select("key", F.xxhash64("bucket", "i", values).alias("bucket"))
+        cool, hottest = _parted(again, hot_bucket)
+        pairs = pairs.unionByName(_meeting(cool))
 
     def compare(batches):
         for b in batches:
@@ -214,8 +251,10 @@ def candidate_pairs(sigs: DataFrame, kinds: list[Kind], hot_bucket: int = HOT_BU
                 keep = pa.array(mine[bayes_keep(x[mine], y[mine], kind.threshold)])
                 yield pa.RecordBatch.from_arrays([pa.array([kind.name] * len(keep), pa.string()), b.column("key_a").take(keep), b.column("key_b").take(keep)], names=["tbl", "key_a", "key_b"])
 
-    signed = pairs.join(sig.toDF("key_a", "sig_a"), "key_a").join(sig.toDF("key_b", "sig_b"), "key_b")
+    signed = pairs.distinct().join(sig.toDF("key_a", "sig_a"), "key_a").join(sig.toDF("key_b", "sig_b"), "key_b")
     survivors = signed.select("key_a", "key_b", "sig_a", "sig_b").mapInArrow(compare, "tbl string, key_a long, key_b long")
+    if hottest is None:
+        return survivors
 
     def compare_blocks(table: pa.Table) -> pa.Table:
         key, part, sides = table.column("key").to_numpy(), table.column("part").to_numpy(), (table.column("i")[0].as_py(), table.column("j")[0].as_py())
@@ -226,14 +265,15 @@ def candidate_pairs(sigs: DataFrame, kinds: list[Kind], hot_bucket: int = HOT_BU
         for r in at[0]:
             others = at[1] if sides[0] != sides[1] else at[1][at[1] > r]
             hit = others[bayes_keep(np.broadcast_to(s[r], (len(others), SIGNATURE)), s[others], kind.threshold)]
+            hit = hit[key[hit] != key[r]]
             out_a.append(np.minimum(key[r], key[hit]))
             out_b.append(np.maximum(key[r], key[hit]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
         return pa.table({"tbl": pa.array([kind.name] * len(a), pa.string()), "key_a": a, "key_b": b})
 
     parts = F.ceil(F.col("n") / BLOCK_KEYS).cast("int")
-    hot = (
-        shared.where(F.col("n") >= hot_bucket)
+    blocks = (
+        hottest.dropDuplicates(["bucket", "key"])
         .join(sig, "key")
         .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
@@ -244,27 +284,51 @@ def candidate_pairs(sigs: DataFrame, kinds: list[Kind], hot_bucket: int = HOT_BU
         .groupBy("bucket", "i", "j")
         .applyInArrow(compare_blocks, "tbl string, key_a long, key_b long")
     )
-    return survivors.unionByName(hot).distinct()
+    return survivors.unionByName(blocks).distinct()
+
+
+def key_sets(texts: DataFrame, kind: Kind) -> DataFrame:
+    """(key, set) of rows (key, text): the hashes of the text's elements, 8 bytes each, in order."""
+
+    def run(batches):
+        for b in batches:
+            row = 0
+            for e, _, size in hashed_sets(b.column("text"), kind):
+                offsets = np.append(0, np.cumsum(size) * 8).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(e))])
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(row, len(size)), sets], names=["key", "set"])
+                row += len(size)
+
+    return texts.select("key", "text").mapInArrow(run, "key long, set binary")
+
 
+def in_common(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements in common, elements of a, elements of b) for each row of two arrays of sets, all rows at once."""
 
-def verified_pairs(pairs: DataFrame, texts: DataFrame, kinds: list[Kind]) -> DataFrame:
-    """The pairs (tbl, key_a, key_b, similarity) whose exact similarity reaches the threshold. `texts`: (tbl, key, text)
-    with one row for each key."""
-    by = {k.name: k for k in kinds}
+    def flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(v) for v in x.to_pylist()], np.int64) // 8
+        row = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        values = np.frombuffer(b"".join(x.to_pylist()), np.uint64)
+        return size, row, _mix(values + row * np.uint64(0x9E3779B97F4A7C15))  # a row's elements are told from another's
+
+    (n_a, row_a, x), (n_b, _, y) = flat(a), flat(b)
+    _, i, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return np.bincount(row_a[i].astype(np.int64), minlength=len(n_a)), n_a, n_b
+
+
+def verified_pairs(pairs: DataFrame, sets: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """The pairs (tbl, key_a, key_b, similarity) whose exact similarity reaches the threshold. `sets`: (key, set) with one
+    row for each key. Elements are compared by hashes of 64 bits, whose chance to collide within a pair is negligible."""
+    least = {k.name: k.threshold for k in kinds}
 
     def exact(batches):
         for b in batches:
-            sims = []
-            for t, x, y in zip(b.column("tbl").to_pylist(), b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-                p, q = elements(x, by[t]), elements(y, by[t])
-                both = len(p & q)
-                sims.append(both / (len(p) + len(q) - both) if p and q else 0.0)
-            reach = pa.array([s >= by[t].threshold for s, t in zip(sims, b.column("tbl").to_pylist(), strict=True)], pa.bool_())
+            both, n_a, n_b = in_common(b.column("set_a"), b.column("set_b"))
+            sims = both / np.maximum(n_a + n_b - both, 1)
+            reach = pa.array(sims >= np.array([least[t] for t in b.column("tbl").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tbl", "key_a", "key_b")), pa.array(sims, pa.float64())], names=["tbl", "key_a", "key_b", "similarity"]).filter(reach)
 
-    one = texts.select("tbl", F.col("key").alias("key_a"), F.col("text").alias("text_a"))
-    two = texts.select("tbl", F.col("key").alias("key_b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, ["tbl", "key_a"]).join(two, ["tbl", "key_b"]).select("tbl", "key_a", "key_b", "text_a", "text_b")
+    joined = pairs.join(sets.toDF("key_a", "set_a"), "key_a").join(sets.toDF("key_b", "set_b"), "key_b").select("tbl", "key_a", "key_b", "set_a", "set_b")
     return joined.mapInArrow(exact, "tbl string, key_a long, key_b long, similarity double")
 
 
@@ -293,26 +357,39 @@ def similar_sets(sources: list[tuple[DataFrame, Kind, str, str, str | None]], ho
     wanted = pairs.select("tbl", F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     few = 2 * pairs.count() <= BROADCAST_IDS
     heads = sigs.where("bands is not null").join(F.broadcast(wanted) if few else wanted, ["tbl", "key"], "left_semi").groupBy("tbl", "key").agg(F.min("id").alias("id"))
-    texts = None
+    sets = None
     for df, kind, i, t, _ in sources:
         mine = heads.where(F.col("tbl") == kind.name).select("tbl", "key", "id")
         # texts of the few records to verify are picked out where they lie; of many, by a shuffled join
-        x = df.select(F.col(i).cast("string").alias("id"), F.col(t).alias("text")).join(F.broadcast(mine) if few else mine, "id").groupBy("tbl", "key").agg(F.first("text").alias("text"))
-        texts = x if texts is None else texts.unionByName(x)
-    return Similar(members, verified_pairs(pairs, texts, kinds))
+        x = df.select(F.col(i).cast("string").alias("id"), F.col(t).alias("text")).join(F.broadcast(mine) if few else mine, "id")
+        x = key_sets(x, kind)
+        sets = x if sets is None else sets.unionByName(x)
+    sets = sets.groupBy("key").agg(F.first("set").alias("set"))  # records delivered twice
+    return Similar(members, verified_pairs(pairs, sets, kinds))
 
 
-def record_pairs(s: Similar) -> DataFrame:
+def record_pairs(s: Similar, block: int = BLOCK_RECORDS) -> DataFrame:
     """Every pair of records (tbl, id_a, id_b), id_a < id_b, that are alike: those of alike sets and those of one set.
-    Records of one group (where groups are given) are no pair."""
-    m = s.members
-    m = m.where("id is not null and key is not null")
-    one, two = m.select(F.col("tbl").alias("tbl"), F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("key").alias("key_a")), m.select(F.col("tbl").alias("tbl_b"), F.col("id").alias("y"), F.col("grp").alias("gy"), F.col("key").alias("key_b"))
-    shared = m.groupBy("key").agg(F.count("key").alias("n")).where("n > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
-    # a set is alike to itself; both joins read the same columns, so that one exchange may serve them
-    both = s.pairs.select("key_a", "key_b").unionByName(shared).join(one, "key_a").join(two, "key_b")
-    both = both.where("tbl = tbl_b and (key_a <> key_b or x < y) and (gx is null or gy is null or gx <> gy)")
-    return both.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    Records of one group (where groups are given) are no pair.
+
+    As many rows as the definition asks for: a set of n copies gives n squared. `Similar.pairs` and `record_groups` say
+    the same with one row for each pair of sets and for each record. Here the copies of a set are dealt into blocks by a
+    hash of the id, and blocks meet in pairs, so that no task holds all copies of a set.
+    """
+    m = s.members.where("id is not null and key is not null")
+    counts = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    many = durable(counts.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))  # at most records / block
+    many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    blocks = lambda df, key, name: df.join(many.toDF(key, f"{name}s"), key, "left").withColumn(f"{name}s", F.coalesce(f"{name}s", F.lit(1)))
+    dealt = blocks(m, "key", "block").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    one, two = (dealt.select(F.col("tbl").alias(f"tbl_{p}"), F.col("id").alias(f"id_{p}"), F.col("grp").alias(f"grp_{p}"), F.col("key").alias(f"key_{p}"), F.col("block").alias(f"block_{p}")) for p in "ab")
+    shared = counts.where("n > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))  # a set is alike to itself
+    met = blocks(blocks(s.pairs.select("key_a", "key_b").unionByName(shared), "key_a", "block_a"), "key_b", "block_b")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
+    met = met.select("key_a", "key_b", "block_bs", each("block_a")).select("key_a", "key_b", "block_a", each("block_b")).where("key_a <> key_b or block_a <= block_b")
+    both = met.join(one, ["key_a", "block_a"]).join(two, ["key_b", "block_b"])
+    both = both.where("tbl_a = tbl_b and (key_a <> key_b or block_a <> block_b or id_a < id_b) and (grp_a is null or grp_b is null or grp_a <> grp_b)")
+    return both.select(F.col("tbl_a").alias("tbl"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a <> id_b").distinct()
 
 
 def record_groups(s: Similar) -> DataFrame:

@@ -24,9 +24,14 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return N.record_pairs(_similar(spark, root))
 
 
+def p1_links(spark: SparkSession, root: str) -> DataFrame:
+    """Alike sets, one row for each pair of them; `p1_groups` has the records of each set."""
+    return _similar(spark, root).pairs
+
+
 def p1_groups(spark: SparkSession, root: str) -> DataFrame:
     return N.record_groups(_similar(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p1_groups)}
 SQL: dict[str, str] = {}

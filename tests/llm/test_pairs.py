@@ -42,6 +42,14 @@ def test_words_and_sets():
     assert sizes == [len(N.elements(r, RUNS)) for r in rows]
 
 
+def test_sets_in_common():
+    rows = [("a b c d e f", "a b c d e x"), ("a b c d e", "a b c d e"), ("", "a b c d e"), ("p q r s t u", "a b c d e f")] * 3
+    sets = [[e[h : h + n].tobytes() for e, head, size in N.hashed_sets(pa.array([r[k] for r in rows]), RUNS) for h, n in zip(head, size, strict=True)] for k in (0, 1)]
+    both, a, b = N.in_common(*(pa.array(x, pa.binary()) for x in sets))
+    want = [(len(N.elements(x, RUNS) & N.elements(y, RUNS)), len(N.elements(x, RUNS)), len(N.elements(y, RUNS))) for x, y in rows]
+    assert list(zip(both, a, b, strict=True)) == want
+
+
 def test_pruning_bound():
     n = N.least_matches(32, 0.6)
     assert 8 < n < 18 and N.least_matches(64, 0.6) > n
@@ -63,6 +71,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch, hot, block):
     df2 = spark.createDataFrame(titles, "version_id string, title string, document_id string").repartition(3)
     similar = N.similar_sets([(df1, RUNS, "id", "text", None), (df2, SETS, "version_id", "title", "document_id")], hot)
     got = {tuple(r) for r in N.record_pairs(similar).collect()}
+    assert got == {tuple(r) for r in N.record_pairs(similar, 7).collect()}
     want = set()
     for kind, rows in ((RUNS, [(i, x, None) for i, x, _ in {c[0]: c for c in chunks}.values()]), (SETS, titles)):
         s = [(i, N.elements(x, kind), g) for i, x, g in rows]
