@@ -216,12 +216,36 @@ def _parted(member: DataFrame, hot_bucket: int) -> tuple[DataFrame, DataFrame |
     return member.join(heavy, "bucket", "left_anti"), member.join(heavy, "bucket")
 
 
+def runs_to_pairs(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different keys of each bucket, smaller key first, of rows in order of bucket and key."""
+    fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]))[: len(key)]
+    bucket, key = bucket[fresh], key[fresh]
+    at, apart, a, b = np.arange(len(key)), 0, [], []
+    while len(at):
+        apart += 1
+        at = at[at + apart < len(key)]
+        at = at[bucket[at] == bucket[at + apart]]
+        a.append(key[at])
+        b.append(key[at + apart])
+    return (np.concatenate(a), np.concatenate(b)) if a else (key, key)
+
+
 def _meeting(cool: DataFrame) -> DataFrame:
-    """Pairs of keys (key_a, key_b), key_a < key_b, that share a bucket; a pair may come out once for each."""
-    # both sides read the same columns behind the same exchange, so that it is made once; a key belongs to one table only
-    once = cool.repartition("bucket").dropDuplicates(["bucket", "key"])
-    left, right = once.select("bucket", F.col("key").alias("key_a")), once.select("bucket", F.col("key").alias("key_b"))
-    return left.join(right, "bucket").where("key_a < key_b").select("key_a", "key_b")
+    """Pairs of keys (key_a, key_b), key_a < key_b, that share a bucket; a pair may come out once for each. One exchange
+    and one sort; a task holds some ten thousand rows and the rows of one bucket, which is not hot."""
+
+    def pair(batches):
+        bucket, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            bucket, key = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((bucket, "bucket"), (key, "key")))
+            if not len(bucket):
+                continue
+            open_ = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs_to_pairs(bucket[:open_], key[:open_])], names=["key_a", "key_b"])
+            bucket, key = bucket[open_:], key[open_:]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs_to_pairs(bucket, key)], names=["key_a", "key_b"])
+
+    return cool.select("bucket", "key").repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(pair, "key_a long, key_b long")
 
 
 def candidate_pairs(sigs: DataFrame, kinds: list[Kind], hot_bucket: int = HOT_BUCKET) -> DataFrame:

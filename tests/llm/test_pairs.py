@@ -50,6 +50,14 @@ def test_sets_in_common():
     assert list(zip(both, a, b, strict=True)) == want
 
 
+def test_pairs_of_runs():
+    rnd = np.random.default_rng(1)
+    rows = sorted((int(b), int(k)) for b, k in zip(rnd.integers(0, 20, 200), rnd.integers(0, 30, 200), strict=True))
+    got = set(zip(*(x.tolist() for x in N.runs_to_pairs(np.array([b for b, _ in rows]), np.array([k for _, k in rows]))), strict=True))
+    assert got == {(k, j) for b, k in rows for c, j in rows if b == c and k < j}
+    assert [len(x) for x in N.runs_to_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
 def test_pruning_bound():
     n = N.least_matches(32, 0.6)
     assert 8 < n < 18 and N.least_matches(64, 0.6) > n
