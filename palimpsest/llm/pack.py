@@ -10,6 +10,7 @@ common, meets in one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from palimpsest.runtime import durable
 CAPACITY = 2_048
 #: Steps of one enumeration at most, branches kept of it, and steps of all enumerations after which the search ends with
 #: the incumbent. They bound the planning time, whatever the number of items.
-FILL_NODES, BRANCHES, SEARCH_NODES = 3_000, 3, 400_000
+FILL_NODES, BRANCHES, SEARCH_NODES = 3_000, 6, 400_000
 #: Parts of a filling that are enumerated; beyond, the rest of the container is filled by best fit.
 DEEP = 40
 #: Items that one bucket of a size holds at most, about.
@@ -53,20 +54,36 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 def fillings(counts: np.ndarray, capacity: int, keep: int = BRANCHES, nodes: int = FILL_NODES) -> tuple[list[tuple[int, Filling]], int]:
     """(waste, filling) of undominated fillings around the largest size, the least waste first; the steps it took.
 
-    Larger parts are tried first: the first leaf is the best-fit filling, and a filling whose part could be replaced by
-    one larger part that is at hand is dominated. The search ends early at a filling without waste.
+    Larger parts are tried first: the first leaf is the best-fit filling. A filling is dominated, and left out, if one of
+    its parts beside the largest, or two of them, could make way for one larger part at hand that still fits (for two,
+    one as large as both will do): what is freed fits wherever the other part would have gone. The search ends early at
+    a filling without waste.
     """
+    rising = np.flatnonzero(counts).tolist()
     sizes = np.flatnonzero(counts)[::-1]
     largest = int(sizes[0])
     sizes, counts = sizes.tolist(), counts.tolist()
     found: list[tuple[int, Filling]] = []
     budget = nodes
 
+    def at_hand(low: int, high: int, f: dict[int, int]) -> bool:
+        for x in rising[bisect_left(rising, low) :]:
+            if x > high:
+                return False
+            if counts[x] > f.get(x, 0):
+                return True
+        return False
+
     def leaf(room: int, parts: list[int]) -> None:
         f: dict[int, int] = {}
         for p in parts:
             f[p] = f.get(p, 0) + 1
-        found.append((room, tuple(f.items())))
+        free = {s: c - (s == largest) for s, c in f.items()}
+        if not found or not (
+            any(c > 0 and at_hand(s + 1, s + room, f) for s, c in free.items())
+            or any(at_hand(s + t, s + t + room, f) for s in free for t in free if s <= t and free[s] > (s == t) and free[t] > 0)
+        ):
+            found.append((room, tuple(f.items())))
 
     def go(room: int, at: int, parts: list[int]) -> bool:
         nonlocal budget

@@ -1,9 +1,9 @@
 """Splitting oversized texts at natural boundaries by packing their structure tree.
 
 A text is read as a tree: sections under headings, blocks between blank lines, list items and lines, sentences, words.
-A node within the limit stays whole; only an oversized node is opened. The parts of an opened node are merged with
-their neighbours, bottom-up, as far as the limit allows. Only a stretch without any boundary that alone exceeds the
-limit is cut by force.
+A node within the limit stays whole; only an oversized node is opened. Whole siblings are merged, bottom-up, as far as
+the limit allows; what an opened node was cut into is not merged with its siblings, so a piece holds a heading inside
+only if it holds whole sections. Only a stretch without any boundary that alone exceeds the limit is cut by force.
 """
 
 from __future__ import annotations
@@ -61,14 +61,15 @@ def pack(text: str, s: int, e: int, limit: int, room: int, depth: int = 0) -> li
         return pack(text, s, e, limit, room, depth + 1)
     again = level == "section"  # headings of deeper levels are found by reading the section once more
     out: list[tuple[int, int, str]] = []
+    whole_before = False
     for a, b in parts:
-        inner = pack(text, a, b, limit, room, depth if again else depth + 1)
-        inner[-1] = (*inner[-1][:2], level)
-        for x in inner:
-            if out and x[1] - out[-1][0] <= room and out[-1][2] != "forced":
-                out[-1] = (out[-1][0], x[1], x[2])
-            else:
-                out.append(x)
+        whole = b - a <= room
+        if whole and whole_before and b - out[-1][0] <= room:
+            out[-1] = (out[-1][0], b, level)
+        else:
+            out += pack(text, a, b, limit, room, depth if again else depth + 1)
+            out[-1] = (*out[-1][:2], level)
+        whole_before = whole
     return out
 
 
@@ -105,18 +106,14 @@ def split_texts(df: DataFrame, id_col: str = "id", text: str = "text", limit: in
 
     def run(batches):
         for b in batches:
-            for i, t in zip(b.column("id"), b.column("text").to_pylist(), strict=True):
-                pieces = split(t, limit, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i.as_py()] * len(pieces), i.type),
-                        pa.array(range(len(pieces)), pa.int32()),
-                        *(pa.array([p[k] for p in pieces], pa.int32()) for k in range(3)),
-                        pa.array([p[3] for p in pieces], pa.string()),
-                        pa.array([t[p[0] : p[2]] for p in pieces], pa.string()),
-                    ],
-                    names=["id", "ordinal", "start", "own_start", "end", "cut", "text"],
-                )
+            texts = b.column("text").to_pylist()
+            pieces = [(row, n, *p, t[p[0] : p[2]]) for row, t in enumerate(texts) for n, p in enumerate(split(t, limit, overlap))]
+            row, *columns = zip(*pieces, strict=True) if pieces else [()] * 7
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", "ordinal", "start", "own_start", "end", "cut", "text"],
+            )
 
     kind = big.schema["id"].dataType.simpleString()
     return big.mapInArrow(run, f"id {kind}, ordinal int, start int, own_start int, end int, cut string, text string")

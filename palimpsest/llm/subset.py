@@ -1,10 +1,16 @@
 """Choosing a varied subset of given size: greedy selection of the largest kernel determinant.
 
-The kernel is L_ij = q_i q_j S_ij with quality q = exp(score). Each step takes the item that multiplies the determinant
-most and updates the Cholesky rows of the others. Large groups are cut into parts by a hash of the id; each part yields
-a composable core-set of at most k items, and core-sets are merged and reduced, some parts at a time, until one greedy
-pass over the last of them gives the result. Similarity S is the cosine, or with `alike` a step: 1 from that cosine on,
-else 0, which makes items of one kind fully redundant and leaves other kinds untouched.
+The kernel is L_ij = q_i q_j S_ij with quality q = exp(score) and S = RIDGE I + (1 - RIDGE) cosine, which is positive
+definite, so the determinant stays above zero beyond as many items as there are dimensions. Each step takes the item
+that multiplies the determinant most and subtracts the square of its row of the incremental Cholesky factor from the
+others' residuals. Since S is of low rank but for the ridge, a row comes from a matrix of dims x dims that is updated
+with it; earlier rows are not kept, so memory grows with the items, not with items times k.
+
+With `alike`, S is 1 within a class and 0 between classes. An item's class is that of the first chosen item with a cosine
+of at least `alike`: an equivalence, hence a positive semidefinite kernel; items of one class are fully redundant.
+
+Large pools are cut into parts by a hash of the id; each part yields a composable core-set of at most k items, and
+core-sets are merged and reduced, some parts at a time, until one greedy pass over the last of them gives the result.
 """
 
 from __future__ import annotations
@@ -17,45 +23,55 @@ from pyspark.sql import functions as F
 
 #: Items of a pool that one task looks at, at most about; larger pools are cut. Core-sets merged at a time.
 PART_ROWS, FAN_IN = 2_048, 8
-#: A residual below this share of an item's own variance counts as none.
-EPS = 1e-9
+#: Share of an item's variance that no other item can explain: the floor of its gain, and the gain of a second copy is
+#: about twice that.
+RIDGE = 0.01
 
 
 def greedy(vectors: np.ndarray, scores: np.ndarray, k: int, alike: float | None = None, fill: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(chosen rows in order, gain of each: its residual variance, 0 for items added only to reach k). Ties go to the
     earlier row. A zero vector is like nothing else."""
-    n = len(scores)
+    n, dims = vectors.shape
     k = min(k, n)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norm, out=np.zeros_like(vectors, dtype=np.float64), where=norm > 0)
-    q = np.exp(scores - scores.max()) if n else scores
-    left = q * q
-    rows = np.zeros((k, n))
-    free = np.ones(n, bool)
+    q2 = np.exp(2 * (scores - scores.max())) if n else scores
+    left = np.ones(n)  # residual variance as a share of the own one
+    inverse = np.eye(dims)
+    free, unclassed = np.ones(n, bool), np.ones(n, bool)
     chosen, gain = [], []
     while len(chosen) < k:
-        open_ = np.where(free & (left > EPS * q * q), left, -1.0)
-        j = int(open_.argmax()) if n else -1
-        if j < 0 or open_[j] <= 0:
+        worth = np.where(free & (left > 0), q2 * left, -1.0)
+        j = int(worth.argmax())
+        if worth[j] <= 0:
             break
-        sim = unit @ unit[j]
-        if alike is not None:
-            sim = (sim >= alike).astype(float)
-        sim[j] = 1.0
-        t = len(chosen)
-        rows[t] = (q * q[j] * sim - rows[:t, j] @ rows[:t]) / np.sqrt(left[j])
         chosen.append(j)
-        gain.append(left[j])
+        gain.append(worth[j])
         free[j] = False
-        left = np.maximum(left - rows[t] ** 2, 0)
+        if alike is not None:
+            mine = unclassed & (unit @ unit[j] >= alike)
+            unclassed &= ~mine
+            left[mine] = 0.0
+        elif norm[j, 0] > 0:
+            w = inverse @ unit[j]
+            row = (1 - RIDGE) * (unit @ w) / np.sqrt(left[j])
+            left = np.maximum(left - row * row, RIDGE * 1e-3)
+            inverse -= (1 - RIDGE) / (RIDGE + (1 - RIDGE) * (unit[j] @ w)) * np.outer(w, w)
     if fill and len(chosen) < k:
         rest = np.flatnonzero(free)
-        rest = rest[np.argsort(-q[rest], kind="stable")][: k - len(chosen)]
+        rest = rest[np.argsort(-q2[rest], kind="stable")][: k - len(chosen)]
         chosen.extend(rest.tolist())
         gain.extend([0.0] * len(rest))
     return np.array(chosen, np.int64), np.array(gain)
 
 
+def log_determinant(vectors: np.ndarray, scores: np.ndarray, chosen: np.ndarray) -> float:
+    """Logarithm of the kernel determinant of a choice, without the common factor of the scores' maximum."""
+    unit = vectors[chosen] / np.linalg.norm(vectors[chosen], axis=1, keepdims=True)
+    kernel = RIDGE * np.eye(len(chosen)) + (1 - RIDGE) * unit @ unit.T
+    return float(np.linalg.slogdet(kernel)[1] + 2 * (scores[chosen] - scores.max()).sum())
+
+
 def _pass(df: DataFrame, keys: list[str], dims: int, alike: float | None, fill: bool) -> DataFrame:
     schema = df.schema
 
@@ -63,8 +79,8 @@ def _pass(df: DataFrame, keys: list[str], dims: int, alike: float | None, fill:
         order = pc.sort_indices(table, [("score", "descending"), ("id", "ascending")])
         table = table.take(order)
         ids = table.column("id").to_pylist()
-        seen: set = set()
-        first = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]  # repeated rows count once
+        first = list({x: i for i, x in reversed(list(enumerate(ids)))}.values())[::-1]  # repeated rows count once, at their best score
+        first.sort()
         table = table.take(pa.array(first, pa.int64()))
         flat = table.column("vector").combine_chunks().flatten()
         v = np.asarray(flat, np.float64).reshape(-1, dims)

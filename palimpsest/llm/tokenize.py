@@ -1,10 +1,11 @@
 """Encoding of texts by a byte-level BPE vocabulary file (rank format), and its inverse.
 
-Boundaries of pre-tokens are found on code-point class arrays. For the split pattern of this vocabulary family the
-transition function of two successive code points (with the one before) is already constant, i.e. composing more of
-them changes nothing; so the associative scan over transition functions closes after two steps and is written as
-shifted comparisons, plus one running scan for run starts. Distinct pre-tokens go through pair merging once and are
-kept in a bounded cache; the merging itself works on all of a block's new pre-tokens at once.
+Boundaries of pre-tokens come from a scan over the transition functions of a finite automaton: every code point has a
+symbol (its class, or one of the few letters that contractions are made of), every symbol a function from states to
+states. Functions are composed within blocks of code points, all blocks at once, then across blocks by doubling, which
+is where associativity is used; so the state at every code point is known without a regex or a loop over characters.
+Distinct pre-tokens go through pair merging once and are kept in a bounded cache; the merging itself works on all of a
+block's new pre-tokens at once. Offsets of tokens are kept on request.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from palimpsest.llm.scan import LETTER, NUMBER, OTHER, SPACE, Block, blocks, class_table, distinct_slices, ragged
+from palimpsest.llm.scan import Block, blocks, class_table, distinct_slices, ragged
 
 #: Where the vocabulary of the named tokenizer lies; a parameter of every entry point.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -29,50 +30,98 @@ LONG = 192
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
+#: States: before a text, in letters, numbers or other signs, after a blank or another white space, at an apostrophe that
+#: may open a contraction, at a first letter of two, at the end of a contraction.
+BEFORE, LETTERS, NUMBERS, SIGNS, BLANK, WHITE, QUOTE, FIRST_R, FIRST_V, FIRST_L, CLOSED = range(11)
+STATES = 11
+#: Symbols: classes of code points, the apostrophe, and letters of contractions.
+_S_LETTER, _S_NUMBER, _S_SIGN, _S_BLANK, _S_WHITE, _S_QUOTE, _S_ONE, _S_R, _S_V, _S_E, _S_L = range(11)
+SYMBOLS = 11
+#: Code points of a block of the scan.
+SCAN = 64
+
+
+@lru_cache(maxsize=1)
+def transitions() -> np.ndarray:
+    """(2 x SYMBOLS, STATES) table: the state after each symbol from each state; in the second half for the first code
+    point of a text, which makes the function constant."""
+    t = np.zeros((SYMBOLS, STATES), np.uint8)
+    t[[_S_LETTER, _S_ONE, _S_R, _S_V, _S_E, _S_L]] = LETTERS
+    t[_S_NUMBER], t[_S_SIGN], t[_S_BLANK], t[_S_WHITE], t[_S_QUOTE] = NUMBERS, SIGNS, BLANK, WHITE, QUOTE
+    t[_S_QUOTE, [SIGNS, QUOTE, BLANK]] = SIGNS  # the apostrophe joins signs and a blank before it
+    t[_S_ONE, QUOTE] = CLOSED
+    t[_S_R, QUOTE], t[_S_V, QUOTE], t[_S_L, QUOTE] = FIRST_R, FIRST_V, FIRST_L
+    t[_S_E, [FIRST_R, FIRST_V]] = CLOSED
+    t[_S_L, FIRST_L] = CLOSED
+    return np.vstack([t, np.repeat(t[:, [BEFORE]], STATES, 1)])
+
+
+@lru_cache(maxsize=1)
+def symbol_table() -> np.ndarray:
+    """uint8 symbol of every code point."""
+    t = np.array([_S_SIGN, _S_LETTER, _S_NUMBER, _S_WHITE], np.uint8)[class_table()]
+    t[0x20], t[0x27] = _S_BLANK, _S_QUOTE
+    ends = {c[1:] for c in CONTRACTIONS}
+    t[[ord(c) for c in ends if len(c) == 1]] = _S_ONE
+    t[[ord(c) for c in "rvel"]] = [_S_R, _S_V, _S_E, _S_L]
+    return t
+
+
+def compose(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The functions "first f, then g", row by row."""
+    return np.take_along_axis(g, f, 1)
+
+
+def scan_states(symbol: np.ndarray) -> np.ndarray:
+    """The state after each symbol of a sequence that begins before a text."""
+    n = len(symbol)
+    table = transitions()
+    blocks_ = -(-n // SCAN)
+    padded = np.zeros(blocks_ * SCAN, np.int64)
+    padded[:n] = symbol
+    steps = np.ascontiguousarray((padded * STATES).reshape(blocks_, SCAN).T)
+    flat = table.reshape(-1)
+    f = np.broadcast_to(np.arange(STATES, dtype=np.uint8), (blocks_, STATES))
+    for step in steps:  # one function for each block
+        f = flat.take(step[:, None] + f)
+    width = 1
+    while width < blocks_:  # prefixes of functions, by doubling
+        f = np.concatenate([f[:width], compose(f[:-width], f[width:])])
+        width *= 2
+    state = np.append(np.uint8(BEFORE), f[:-1, BEFORE])
+    out = np.empty((SCAN, blocks_), np.uint8)
+    for i, step in enumerate(steps):
+        state = out[i] = flat.take(step + state)
+    return out.T.reshape(-1)[:n]
+
+
 def boundaries(block: Block) -> np.ndarray:
     """Code-point positions at which a pre-token starts, over all texts of the block."""
-    cp = block.cp
-    n = len(cp)
+    n = len(block.cp)
     if not n:
         return np.zeros(0, np.int64)
-    cls = class_table()[cp]
     first = block.text_starts()
-    last = np.append(first[1:], True)  # the last code point of a text
-    run = first.copy()
-    run[1:] |= cls[1:] != cls[:-1]
-    start = run.copy()
-    # the last white space before other text: a blank joins what follows, any other stands alone
-    edge = np.flatnonzero((cls[:-1] == SPACE) & (cls[1:] != SPACE) & ~first[1:])
+    symbol = symbol_table()[block.cp]
+    state = scan_states(symbol + SYMBOLS * first.astype(np.uint8))
+    before = np.append(np.uint8(BEFORE), state[:-1])
+    group = np.array([0, 1, 2, 3, 4, 4, 3, 1, 1, 1, 5], np.uint8)  # states by the token that they are in
+    here, there = group[state], group[before]
+    here = np.where(here == 5, 1, here)
+    start = first | ((here != there) & (before != BLANK))
+    # the last white space before other text begins a token, which a blank shares with that text
+    edge = np.flatnonzero((here[:-1] == 4) & (here[1:] != 4) & ~first[1:])
     start[edge] = True
-    blank = edge[cp[edge] == 0x20]
-    start[blank + 1] = False
-    # contractions: a lone apostrophe, not after a blank, with its letters next
-    at = np.flatnonzero((cp == 0x27) & run & ~last)
-    at = at[cls[at + 1] == LETTER]
-    at = at[first[at] | (cp[at - 1] != 0x20)]
-    if len(at):
-        one = cp[np.minimum(at + 1, n - 1)]
-        two = np.where((at + 2 < n) & ~last[np.minimum(at + 1, n - 1)], cp[np.minimum(at + 2, n - 1)], 0)
-        size = np.zeros(len(at), np.int64)
-        for c in CONTRACTIONS:
-            hit = one == ord(c[1])
-            if len(c) == 3:
-                hit &= two == ord(c[2])
-            size[hit & (size == 0)] = len(c)
-        at, size = at[size > 0], size[size > 0]
-        start[at + 1] = False
-        after = at + size
-        inside = after < n
-        start[after[inside]] = True
+    # a contraction is one token: no start at its first letter
+    closed = np.flatnonzero(state == CLOSED)
+    start[closed - (before[closed] != QUOTE)] = False
     return np.flatnonzero(start)
 
 
 class Encoder:
     """Byte-level BPE from a rank file of lines `base64 rank`."""
 
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, lines: bytes):
+        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.token = {i: b for b, i in self.rank.items()}
         self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.size = max(self.rank.values()) + 1
@@ -83,6 +132,9 @@ class Encoder:
                 if a is not None and b is not None:
                     keys.append(a * self.size + b)
                     ids.append(i)
+        self.length = np.zeros(self.size, np.int64)
+        for piece, i in self.rank.items():
+            self.length[i] = len(piece)
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self._build_table(np.array(keys, np.int64)[order], np.array(ids, np.int32)[order])
         self.cache: dict[bytes, np.ndarray] = {}
@@ -234,39 +286,62 @@ class Encoder:
             out.append(np.diff(total[np.searchsorted(start, block.doc)]))
         return np.concatenate(out)
 
+    def offsets(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The byte of its text at which each token starts; n: number of ids of each text."""
+        before = np.append(0, np.cumsum(self.length[ids]))
+        head = np.cumsum(n) - n
+        return (before[:-1] - np.repeat(before[head], n)).astype(np.int32)
+
     def decode(self, ids) -> str:
         """The text of a list of ids."""
         return b"".join(self.token[int(i)] for i in ids).decode("utf-8")
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """The encoder of a vocabulary file, one per process."""
-    return Encoder(path)
+#: Bytes of a vocabulary file at most; it is read by the driver and sent to every task.
+MOST_BYTES = 64 << 20
+_ENCODERS: dict[str, Encoder] = {}
+
 
+def vocabulary_file(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        data = f.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"{path} is no vocabulary: it has more than {MOST_BYTES} bytes")
+    return data
 
-def encode_texts(df, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, out: str = "ids"):
+
+def encoder(path: str = VOCABULARY, lines: bytes | None = None) -> Encoder:
+    """The encoder of a vocabulary, one per process; of `lines` where they are given, else of the file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(vocabulary_file(path) if lines is None else lines)
+    return _ENCODERS[path]
+
+
+def encode_texts(df, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, out: str = "ids", offsets: str | None = None):
     """`keep` and the token ids of the whole of column `text`, without special tokens; strings that look like special
-    tokens are plain text. An empty and a null text both give an empty list. Other columns, whatever their names, are
-    dropped first. No shuffle: one pass of Arrow batches."""
+    tokens are plain text. An empty and a null text both give an empty list. With `offsets`, a column of that name has the
+    byte of the text's UTF-8 form at which each token starts. Other columns, whatever their names, are dropped first. No
+    shuffle: one pass of Arrow batches."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
     narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
-    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("v", T.ArrayType(T.IntegerType(), False), False)])
+    lists = ["v", "o"] if offsets else ["v"]
+    schema = T.StructType([*narrow.schema.fields[:-1], *(T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in lists)])
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))  # at most MOST_BYTES
 
     def run(batches):
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, shared.value)
         for b in batches:
             row = 0
             for ids, n in e.encode(b.column("t")):
-                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                values = [ids, e.offsets(ids, n)] if offsets else [ids]
                 part = b.slice(row, len(n))
                 row += len(n)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*part.schema.names[:-1], "v"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in values)], names=[*part.schema.names[:-1], *lists])
 
-    return narrow.mapInArrow(run, schema).toDF(*keep, out)
+    return narrow.mapInArrow(run, schema).toDF(*keep, out, *([offsets] if offsets else []))
 
 
 def count_tokens(df, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, out: str = "n_tokens"):
@@ -276,9 +351,10 @@ def count_tokens(df, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vo
 
     narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("v", T.LongType(), False)])
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
 
     def run(batches):
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(e.counts(b.column("t")), pa.int64())], names=[*b.schema.names[:-1], "v"])
 

@@ -37,6 +37,29 @@ def test_encoding_equals_library_and_decodes(library):
     assert [tokenize.encoder().decode(g) for g in got] == texts
 
 
+def test_scan_is_the_composition_of_transitions():
+    rnd = np.random.default_rng(4)
+    table = tokenize.transitions()
+    for n in (1, 63, 64, 65, 5000):
+        symbol = rnd.integers(0, tokenize.SYMBOLS, n) + tokenize.SYMBOLS * (rnd.random(n) < 0.01)
+        state, want = tokenize.BEFORE, []
+        for x in symbol:
+            state = table[x, state]
+            want.append(state)
+        assert tokenize.scan_states(symbol).tolist() == want
+    f, g, h = (table[rnd.integers(0, len(table), 200)] for _ in range(3))
+    assert (tokenize.compose(tokenize.compose(f, g), h) == tokenize.compose(f, tokenize.compose(g, h))).all()
+
+
+def test_offsets(spark):
+    texts = ["Ärger's day 日本 12", "", "'s x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    for r in tokenize.encode_texts(df, offsets="at").collect():
+        raw = ((texts + [None])[r.doc_id] or "").encode()
+        parts = [raw[a:b] for a, b in zip(r["at"], [*r["at"][1:], len(raw)], strict=True)] if r.ids else []
+        assert parts == [tokenize.encoder().token[i] for i in r.ids] and b"".join(parts) == raw
+
+
 def test_encoding_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "hello world", "z"), (3, "hello world", "z")], "doc_id long, text string, ids string")
     rows = sorted((r.doc_id, r.ids) for r in tokenize.encode_texts(df).collect())
@@ -65,6 +88,16 @@ def test_split_is_whole_and_within_limit(text, limit):
     check_pieces(text, limit, limit // 4)
 
 
+def test_pieces_keep_sections_apart():
+    text = "# A\n" + "one two. " * 50 + "\n# B\n" + "three four. " * 400 + "\n# C\nshort.\n# D\nshort too.\n## D1\n" + "five. " * 700
+    heads = [i for i in range(len(text)) if text.startswith("#", i) and (i == 0 or text[i - 1] == "\n")]
+    pieces = split.split(text, 1000, 100)
+    for _, s, e, _ in pieces:
+        if any(s < h < e for h in heads):
+            assert (s == 0 or s in heads) and (e == len(text) or e in heads)
+    assert pieces[0][2] == text.index("# B") and any(s <= text.index("# C") and e >= text.index("# D") for _, s, e, _ in pieces)
+
+
 def test_split_edges():
     for n in (27, 28, 29, 25, 24):
         check_pieces("x" * n + "\n" + "y " * 40, 28, 3)
@@ -116,12 +149,25 @@ def test_greedy_maximises_determinant_stepwise():
     rnd = np.random.default_rng(5)
     v, s = rnd.normal(size=(12, 6)), rnd.random(12)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    kernel = np.exp(s - s.max())[:, None] * (u @ u.T) * np.exp(s - s.max())
-    chosen, gain = subset.greedy(v, s, 5)
-    for t in range(5):
+    kernel = np.exp(s - s.max())[:, None] * (subset.RIDGE * np.eye(12) + (1 - subset.RIDGE) * u @ u.T) * np.exp(s - s.max())
+    chosen, gain = subset.greedy(v, s, 9)
+    for t in range(9):  # beyond the number of dimensions too
         best = max((i for i in range(12) if i not in chosen[:t]), key=lambda i: np.linalg.det(kernel[np.ix_([*chosen[:t], i], [*chosen[:t], i])]))
         assert best == chosen[t]
     assert np.isclose(np.prod(gain), np.linalg.det(kernel[np.ix_(chosen, chosen)]))
+    assert np.isclose(np.log(gain).sum(), subset.log_determinant(v, s, chosen))
+
+
+def test_core_sets_keep_the_determinant(spark):
+    rnd = np.random.default_rng(6)
+    kinds = rnd.normal(size=(60, 16))
+    v = kinds[np.minimum(rnd.geometric(0.08, 3000) - 1, 59)] + rnd.normal(scale=0.3, size=(3000, 16))
+    s = rnd.random(3000)
+    items = spark.createDataFrame([(1, f"i{i:04}", x.tolist(), float(y)) for i, (x, y) in enumerate(zip(v, s, strict=True))], "pool_id long, id string, vector array<double>, score double")
+    pools = spark.createDataFrame([(1, 12)], "pool_id long, k int")
+    got = [int(r.id[1:]) for r in subset.choose_varied(items, pools, dims=16, part_rows=200).collect()]
+    one, _ = subset.greedy(v, s, 12)
+    assert len(got) == 12 and subset.log_determinant(v, s, np.array(got)) >= subset.log_determinant(v, s, one) - 0.1 * 12
 
 
 @settings(max_examples=60, deadline=None)
@@ -152,6 +198,14 @@ def test_packing_is_optimal_when_small(sizes):
     assert n == next(m for m in range(1, 10) if fits(sorted(sizes, reverse=True), [20] * m))
 
 
+def test_dominated_fillings_are_left_out():
+    counts = np.bincount([12, 8, 5, 3, 2, 2], minlength=21)
+    found, _ = pack.fillings(counts, 20, keep=100)
+    assert found[0] == (0, ((12, 1), (8, 1))) and len(found) == 1
+    found, _ = pack.fillings(np.bincount([12, 7, 5, 4, 2], minlength=21), 20, keep=100)
+    assert ((12, 1), (4, 1), (2, 1)) not in [f for _, f in found]  # 4 could make way for 5
+
+
 def test_packing_of_many_small_items():
     counts = np.zeros(2049, np.int64)
     counts[1], counts[3], counts[1500], counts[1100] = 100_000, 7, 40, 33
