@@ -67,6 +67,11 @@ def tag_decisions(tags: DataFrame, grants: DataFrame, action: str = "search") ->
     return matched.groupBy("principal_id", "tag").agg((F.max_by("effect", F.struct("literal", F.col("effect") != "allow")) == "allow").alias("allowed"))
 
 
+def own_documents(documents: DataFrame, principals: DataFrame) -> DataFrame:
+    """(principal_id, document_id) that each of `principals` created: all that anyone may see where no grants are known."""
+    return documents.select(F.col("creator").alias("principal_id"), "document_id").join(principals, "principal_id", "left_semi").distinct()
+
+
 def visible_documents(documents: DataFrame, grants: DataFrame, principals: DataFrame, action: str = "search") -> DataFrame:
     """(principal_id, document_id) that each of `principals` may see.
 
@@ -75,8 +80,7 @@ def visible_documents(documents: DataFrame, grants: DataFrame, principals: DataF
     tagged = documents.select("document_id", F.explode(F.array_distinct("access_tags")).alias("tag"))
     allowed = tag_decisions(tagged, grants.join(principals, "principal_id", "left_semi"), action).where("allowed")
     by_grant = tagged.join(allowed, "tag").select("principal_id", "document_id")
-    own = documents.select(F.col("creator").alias("principal_id"), "document_id").join(principals, "principal_id", "left_semi")
-    return by_grant.unionByName(own).distinct()
+    return by_grant.unionByName(own_documents(documents, principals)).distinct()
 
 
 def creators(documents: DataFrame, version: DataFrame, generation: str = "live") -> DataFrame:

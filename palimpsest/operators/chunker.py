@@ -33,32 +33,32 @@ def _leaves(text: str, start: int, most: int, step: int = 0) -> list[tuple[int,
     return out
 
 
-def chunk_spans(text: str, max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> list[tuple[int, int]]:
-    """Spans of the chunks of a text.
+def chunk_groups(text: str, max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> list[list[tuple[int, int]]]:
+    """The leaves (spans) of each chunk of a text.
 
-    Leaves are gathered while they fit; the next chunk begins with as many whole leaves from the end of the last as the
-    overlap holds (fewer if the first new leaf would not fit). A last chunk under the least size joins the one before.
+    Leaves are gathered until the next would not fit; the next chunk begins with as many whole leaves from the end of the
+    last as the overlap holds, and takes the new leaf in any case, so it may be longer than the most by the overlap. A
+    last chunk under the least size joins the one before, with the leaves that it shares with it.
     """
     most, least, overlap = max_tokens * CHARS_PER_TOKEN, min_tokens * CHARS_PER_TOKEN, overlap_tokens * CHARS_PER_TOKEN
-    leaves = _leaves(text, 0, most)
     groups: list[list[tuple[int, int]]] = []
     group: list[tuple[int, int]] = []
-    for leaf in leaves:
+    for leaf in _leaves(text, 0, most):
         if group and leaf[1] - group[0][0] > most:
             groups.append(group)
-            first = len(group)
-            while first > 0 and group[-1][1] - group[first - 1][0] <= overlap:
-                first -= 1
-            group = group[first:] if first else group[1:]
-            while group and leaf[1] - group[0][0] > most:
-                group = group[1:]
+            group = [x for x in group if group[-1][1] - x[0] <= overlap]
         group = [*group, leaf]
     if group:
         groups.append(group)
     if len(groups) > 1 and groups[-1][-1][1] - groups[-1][0][0] < least:
         last = groups.pop()
-        groups[-1] = [*groups[-1], *[x for x in last if x[0] >= groups[-1][-1][1]]]
-    return [(g[0][0], g[-1][1]) for g in groups]
+        groups[-1] = groups[-1] + last
+    return groups
+
+
+def chunk_texts(text: str, *bounds: int) -> list[tuple[int, int, str]]:
+    """(start, end, text) of each chunk; the text is that of its leaves, one after another."""
+    return [(g[0][0], g[-1][1], "".join(text[a:b] for a, b in g)) for g in chunk_groups(text, *bounds)]
 
 
 def chunk_udf(max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, overlap_tokens: int = OVERLAP_TOKENS):
@@ -67,10 +67,10 @@ def chunk_udf(max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, overla
     @F.pandas_udf(CHUNK)
     def chunks(text: pd.Series) -> pd.Series:
         def of(t):
-            spans = chunk_spans(t or "", max_tokens, min_tokens, overlap_tokens)
-            return [{"ordinal": i, "text": t[a:b], "token_count": max(1, -(-(b - a) // CHARS_PER_TOKEN)), "start": a, "end": b} for i, (a, b) in enumerate(spans)]
+            made = chunk_texts(t or "", max_tokens, min_tokens, overlap_tokens)
+            return [{"ordinal": i, "text": c, "token_count": max(1, -(-len(c) // CHARS_PER_TOKEN)), "start": a, "end": b} for i, (a, b, c) in enumerate(made)]
 
-        return text.map(of)
+        return pd.Series([of(t) for t in text])
 
     return chunks
 

@@ -48,12 +48,16 @@ def linked_documents(documents: DataFrame, edge: DataFrame, entity_ids: DataFram
     return documents.join(links.join(entity_ids, "entity_id", "left_semi"), ["tenant_id", "id"], "left_semi")
 
 
-def search_rows(corpus: Corpus, generation: str = LIVE, kinds: list[str] | None = None) -> DataFrame:
-    """Chunks of searchable versions with what ranking needs, without their texts."""
-    v = searchable(corpus.version, generation).select(
+def search_rows(corpus: Corpus, generation: str = LIVE, kinds: list[str] | None = None, include_deprecated: bool = False, entity_ids: DataFrame | None = None) -> DataFrame:
+    """Chunks of searchable versions with what ranking needs, without their texts; with `entity_ids` (entity_id) only of
+    documents that lead to one of them."""
+    v = searchable(corpus.version, generation, include_deprecated).select(
         "tenant_id", F.col("id").alias("version_id"), "document_id", "occurred_at", "authority", "temporal_class", "valid_until", "provenance", "created_by_kind", "created_by_principal_id"
     )
-    d = scan(corpus.document, kinds=kinds).select("tenant_id", F.col("id").alias("document_id"), "title", "adapter", "external_ref")
+    d = scan(corpus.document, kinds=kinds)
+    if entity_ids is not None:
+        d = linked_documents(d, corpus.edge, entity_ids)
+    d = d.select("tenant_id", F.col("id").alias("document_id"), "title", "adapter", "external_ref")
     c = corpus.chunk.select("tenant_id", F.col("id").alias("chunk_id"), "version_id", "document_id")
     return c.join(v, ["tenant_id", "version_id", "document_id"]).join(d, ["tenant_id", "document_id"])
 

@@ -3,8 +3,9 @@
 Parents and children are put into one long table keyed by (parent table, key). One aggregation, with map-side partial
 aggregates, gives each key its parent's facts and the extremes of its children; keys whose parent exists and whose
 extremes are all in order drop out there, before any child is looked at singly. What is left is joined back to the
-children. Keys with very many children (a hub may hold a third of all rows) go through a broadcast of at most
-`children / HOT` rows instead of a shuffle on the key; all others through a shuffled join.
+children, which are read once more for that. A key with very many children (a hub may hold a third of all rows) is
+salted: its children are dealt by a hash into groups of about `HOT`, and its facts are repeated for each group. Which
+keys are salted is sent to all tasks, `HOT_KEYS` of them at most, whatever the size of the tables.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import durable
+
 #: Characters that never count around a reference: blanks, tabs, line ends.
 BLANKS = " \t\r\n"
-#: A key with at least so many children is hot. There are at most (children / HOT) hot keys, which bounds the broadcast.
-HOT = 10_000
+#: A suspicious key is hot with so many children and more, or with this share of those of all suspicious keys if that is
+#: more; so at most HOT_KEYS keys are hot, and no other has more children than a task can take.
+HOT, HOT_KEYS = 1_000, 20_000
 
 
 def _ref(col: Column) -> Column:
@@ -102,19 +106,22 @@ def suspicious_keys(children: DataFrame, parent_rows: DataFrame) -> DataFrame:
     return keys.where((F.col("n_children") > 0) & odd).drop("c_low", "c_high", "c_untenanted", "c_first")
 
 
-def broken_references(children: DataFrame, parent_rows: DataFrame, hot: int = HOT) -> DataFrame:
+def broken_references(children: DataFrame, parent_rows: DataFrame, hot: int = HOT, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Each distinct reference that is broken, with its reasons.
 
     children: src_table, src_id, src_field, parent_table, ref, tenant_id, at. parent_rows: see `parents`.
-    Result: src_table, src_id, src_field, ref, at, missing, foreign, deleted, late. Rows delivered twice count once.
+    Result: src_table, src_id, src_field, ref, at, missing, foreign, deleted, late. Rows delivered twice count once;
+    should they disagree, the earliest time and every reason count.
     Tenants are compared null-safely; a missing time is never late. Empty inputs give an empty result, and without
     any parents every reference is missing.
     """
-    bad = suspicious_keys(children, parent_rows)
+    bad = durable(suspicious_keys(children, parent_rows))
     on = ["parent_table", "ref"]
-    hot_keys = F.broadcast(bad.where(F.col("n_children") >= hot))
-    cold_keys = bad.where(F.col("n_children") < hot)
-    joined = children.join(hot_keys, on).unionByName(children.join(cold_keys, on))
+    least = max(hot, (bad.agg(F.sum("n_children")).first()[0] or 0) // hot_keys)
+    groups = F.when(F.col("n_children") >= least, F.ceil(F.col("n_children") / hot)).otherwise(1).cast("int")
+    salted = F.broadcast(bad.where(F.col("n_children") >= least).select(*on, groups.alias("groups")))  # at most hot_keys rows
+    dealt = children.join(salted, on, "left").withColumn("salt", F.when(F.col("groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("src_id", "src_field"), F.col("groups"))).cast("int"))
+    joined = dealt.drop("groups").join(bad.withColumn("salt", F.explode(F.sequence(F.lit(0), groups - 1))), [*on, "salt"])
     has = F.col("has_parent")
     return (
         joined.select(
@@ -129,7 +136,8 @@ def broken_references(children: DataFrame, parent_rows: DataFrame, hot: int = HO
             (has & F.coalesce(F.col("p_at") > F.col("at"), F.lit(False))).alias("late"),
         )
         .where("missing or foreign or deleted or late")
-        .dropDuplicates(["src_table", "src_id", "src_field", "ref"])
+        .groupBy("src_table", "src_id", "src_field", "ref")
+        .agg(F.min("at").alias("at"), *[F.max(c).alias(c) for c in ("missing", "foreign", "deleted", "late")])
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +47,11 @@ def lexical_topk(matches: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
 
 def dense_topk(query_vectors: DataFrame, embeddings: DataFrame, limit: int, dims: int = 64) -> DataFrame:
     """The `limit` vectors most similar to each query's among those of its tenant and model: query_id, chunk_id, cosine,
-    rank. Exact. query_vectors: query_id, tenant_id, model_key, vector. embeddings: tenant_id, model_key, chunk_id,
-    embedding, of which unusable ones are left out.
+    rank. Exact; ties go to the smaller chunk id. query_vectors: query_id, tenant_id, model_key, vector. embeddings:
+    tenant_id, model_key, chunk_id, embedding, of which unusable ones are left out and rows delivered twice count once.
 
     Queries go over the embeddings in blocks; a block's vectors are sent to all tasks (QUERY_BLOCK x dims x 8 bytes at
-    most), and each task keeps only its best for each query.
+    most). No vector is shuffled: each task compares its own and keeps its best `limit` for each query.
     """
     from palimpsest.functions.vectors import usable
 
@@ -61,31 +62,53 @@ def dense_topk(query_vectors: DataFrame, embeddings: DataFrame, limit: int, dims
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id string, cosine double"
 
     def over(block: list) -> DataFrame:
-        groups: dict[tuple, tuple[list, np.ndarray]] = {}
+        groups: dict[tuple, list] = {}
         for r in block:
             groups.setdefault((r.tenant_id, r.model_key), []).append(r)
-        packed = {}
+        ids = [r.query_id for rs in groups.values() for r in rs]
+        packed, first = {}, 0
         for key, rs in groups.items():
             m = np.array([r.vector for r in rs], np.float64)
-            packed[key] = ([r.query_id for r in rs], m / np.linalg.norm(m, axis=1, keepdims=True))
-        shared = narrow.sparkSession.sparkContext.broadcast(packed)
+            packed[key] = (first, m / np.linalg.norm(m, axis=1, keepdims=True))
+            first += len(rs)
+        shared = narrow.sparkSession.sparkContext.broadcast((ids, packed))
+
+        def best(query: np.ndarray, cos: np.ndarray, name: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            """The first `limit` different names of each query by cosine, then name."""
+            t = pa.table({"query": query, "cos": -cos, "name": name})
+            order = pc.sort_indices(t, [("query", "ascending"), ("cos", "ascending"), ("name", "ascending")])
+            query, cos, name = query[order], cos[order], name.take(order)
+            code = name.dictionary_encode().indices.to_numpy()
+            fresh = np.append(True, (query[1:] != query[:-1]) | (code[1:] != code[:-1]))[: len(query)]
+            at = np.flatnonzero(fresh)
+            place = np.arange(len(at)) - np.searchsorted(query[at], query[at])
+            at = at[place < limit]
+            return query[at], cos[at], name.take(pa.array(at))
 
         def run(batches):
+            numbers, queries = shared.value
+            query, cos, name = np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.string())
             for b in batches:
-                keys = list(zip(b.column("tenant_id").to_pylist(), b.column("model_key").to_pylist(), strict=True))
-                at: dict[tuple, list[int]] = {}
-                for i, key in enumerate(keys):
-                    if key in shared.value:
-                        at.setdefault(key, []).append(i)
-                for key, rows in at.items():
-                    ids, q = shared.value[key]
-                    part = b.take(pa.array(rows))
+                b = b.set_column(2, "chunk_id", b.column("chunk_id").cast(pa.string()))
+                keys = pa.table([b.column("tenant_id"), b.column("model_key")], names=["t", "m"]).group_by(["t", "m"]).aggregate([])
+                for key in keys.to_pylist():
+                    if (key["t"], key["m"]) not in queries:
+                        continue
+                    base, q = queries[key["t"], key["m"]]
+                    part = b.filter(pc.and_(pc.equal(b.column("tenant_id"), key["t"]), pc.equal(b.column("model_key"), key["m"])))
+                    _, once = np.unique(part.column("chunk_id").dictionary_encode().indices.to_numpy(), return_index=True)
+                    part = part.take(pa.array(once))
                     x = np.asarray(part.column("embedding").flatten(), np.float64).reshape(-1, dims)
-                    cos = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                    names = np.array(part.column("chunk_id").to_pylist(), object)
-                    for i, query in enumerate(ids):
-                        best = np.lexsort((names.astype(str), -cos[i]))[:limit]
-                        yield pa.RecordBatch.from_pydict({"query_id": [query] * len(best), "chunk_id": names[best].tolist(), "cosine": cos[i][best]})
+                    s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+                    least = -np.partition(-s, limit - 1, axis=1)[:, limit - 1 : limit] if s.shape[1] > limit else np.full((len(q), 1), -2.0)
+                    i, j = np.nonzero(s >= least)  # ties at the end included
+                    new = best(base + i, s[i, j], part.column("chunk_id").take(pa.array(j)))
+                    query, cos, name = np.concatenate([query, new[0]]), np.concatenate([cos, new[1]]), pa.concat_arrays([name, new[2]])
+                    if len(query) > 4 * limit * len(numbers):
+                        query, cos, name = best(query, cos, name)
+            if len(query):
+                query, cos, name = best(query, cos, name)
+                yield pa.RecordBatch.from_arrays([pa.array([numbers[i] for i in query.tolist()]), name, pa.array(cos)], names=["query_id", "chunk_id", "cosine"])
 
         return narrow.mapInArrow(run, schema)
 
@@ -96,6 +119,7 @@ def dense_topk(query_vectors: DataFrame, embeddings: DataFrame, limit: int, dims
         for i in range(blocks):
             part = over(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect())
             found = part if found is None else found.unionByName(part)
+    found = found.dropDuplicates(["query_id", "chunk_id"])
     return _rank(found, ["query_id"], [F.desc("cosine"), F.col("chunk_id")], limit=limit).select("query_id", "chunk_id", "cosine", "rank")
 
 

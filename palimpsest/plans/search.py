@@ -14,7 +14,7 @@ from palimpsest.functions.text import snippet as snippet_of
 from palimpsest.functions.vectors import usable
 from palimpsest.operators import corpus as C
 from palimpsest.operators import search as R
-from palimpsest.runtime import durable, table
+from palimpsest.runtime import durable, stored, table
 
 NOW = "2024-12-01 00:00:00"
 K, DIMS = 8, 64
@@ -30,13 +30,21 @@ class Batch:
 
     def __init__(self, spark: SparkSession, root: str):
         self.corpus = C.load(spark, root)
-        self._candidates = None
+        # compared where they lie: vectors delivered twice are told apart among the best of a query, not before
+        self.vectors = table(spark, root, "memory_embedding")
+        self._candidates, self._rows = None, None
         self.texts = table(spark, root, "memory_chunk").select("tenant_id", F.col("id").alias("chunk_id"), "text")
         feed = table(spark, root, "feed_entry").where(F.col("feed_seq") % 50 == 0).dropDuplicates(["feed_seq"])
         words = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         plain = F.filter(words, lambda w: (w == F.lower(w)) & (F.length(w) >= 4) & ~w.rlike("[0-9]"))
         self.queries = feed.select(F.col("feed_seq").alias("query_id"), "tenant_id", "version_id", F.col("title").alias("query_text"), F.array_distinct(F.slice(F.coalesce(plain, F.array().cast("array<string>")), 1, 2)).alias("terms"))
-        self.rows = C.search_rows(self.corpus)
+
+    @property
+    def rows(self):
+        """What search may return, without texts; several stages read it, so it is written once."""
+        if self._rows is None:
+            self._rows = stored(C.search_rows(self.corpus))
+        return self._rows
 
     def matches(self):
         return R.lexical_matches(self.queries, self.texts)
@@ -47,11 +55,16 @@ class Batch:
     def query_vectors(self):
         c = self.corpus
         first = c.chunk.groupBy("version_id").agg(F.min_by("id", F.struct("ordinal", "id")).alias("chunk_id"))
-        v = c.embedding.where(usable(F.col("embedding"), DIMS)).groupBy("chunk_id").agg(F.min_by(F.struct("model_key", F.col("embedding").alias("vector")), "model_key").alias("v"))
-        return self.queries.join(first, "version_id").join(v, "chunk_id").select("query_id", "tenant_id", "v.model_key", "v.vector")
+        asked = self.queries.join(first, "version_id").select("query_id", "tenant_id", "chunk_id")
+        return asked.join(self.first_vectors(asked), "chunk_id").select("query_id", "tenant_id", "v.model_key", "v.vector")
+
+    def first_vectors(self, pool):
+        """(chunk_id, v: model_key and vector) of the chunks in `pool`, by the first model that has a usable vector."""
+        mine = self.vectors.where(usable(F.col("embedding"), DIMS)).join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        return mine.groupBy("chunk_id").agg(F.min_by(F.struct("model_key", F.col("embedding").alias("vector")), "model_key").alias("v"))
 
     def dense(self):
-        return R.dense_topk(self.query_vectors(), self.corpus.embedding.join(self.rows.select("chunk_id"), "chunk_id", "left_semi"), LIMIT, DIMS)
+        return R.dense_topk(self.query_vectors(), self.vectors.join(self.rows.select("chunk_id"), "chunk_id", "left_semi"), LIMIT, DIMS)
 
     def fused(self):
         return R.fuse(self.lexical(), self.dense())
@@ -242,8 +255,8 @@ def rerank_pipeline(spark, root):
     raw = R.dedupe_documents(b.candidates(), F.col("fused")).where(F.col("rank") <= 50)
     texts = raw.join(b.corpus.chunk.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
     scored = raw.join(R.rerank(texts, b.queries, R.overlap_reranker), ["query_id", "chunk_id"]).withColumn("score", F.col("rerank_score"))
-    v = b.corpus.embedding.groupBy("chunk_id").agg(F.min_by("embedding", "model_key").alias("vector"))
-    final = R.boosted(scored, now())
+    v = b.first_vectors(raw).select("chunk_id", "v.vector")
+    final = durable(R.boosted(scored, now()))
     chosen = R.mmr(final.select("query_id", "chunk_id", F.col("final").alias("score")).join(v, "chunk_id", "left"), K, dims=DIMS)
     return chosen.join(final.select("query_id", "chunk_id", "document_id", "rerank_score", "final"), ["query_id", "chunk_id"])
 

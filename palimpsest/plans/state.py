@@ -44,6 +44,13 @@ def acl_filter(spark, root):
     return A.visible_documents(d, _grants(spark), spark.createDataFrame([("u1",), ("u2",), ("u3",)], "principal_id string"))
 
 
+def acl_default(spark, root):
+    """Without grants a document is its creator's only."""
+    c = C.load(spark, root)
+    d = A.creators(c.document, c.version).select(F.col("id").alias("document_id"), "access_tags", "creator")
+    return A.own_documents(d, spark.createDataFrame([("u1",), ("u2",), ("u3",)], "principal_id string"))
+
+
 def audience_split(spark, root):
     d = C.load(spark, root).document
     s = A.split_audience(F.concat("access_tags", F.array(F.lit("memory.space:s1"))), F.filter("access_tags", lambda t: F.startswith(t, F.lit("memory.owner"))))
@@ -251,7 +258,7 @@ _RATE = """select *, count(*) over w as samples, sum(hit) over w / count(*) over
 QUERIES = {
     f.__name__: f
     for f in (
-        access_tags_resolve, acl_filter, audience_split, share_grants, timeline_list, timeline_visible, feed_rows, feed_page, feed_exclude_generator, content_hash, model_key, raw_dedupe, add_defaults, scd2_versions, capture_batch,
+        access_tags_resolve, acl_filter, acl_default, audience_split, share_grants, timeline_list, timeline_visible, feed_rows, feed_page, feed_exclude_generator, content_hash, model_key, raw_dedupe, add_defaults, scd2_versions, capture_batch,
         latest_active, owner_lookup, ephemeral_sweep, deprecate, tombstone, hard_delete_cascade, set_retention, entity_upsert, edge_upsert, transform_next_version, promote_swap, transform_progress, degrade_rolling_rate,
         degrade_hysteresis, degrade_lifetime, inferred_to_state, timeline_withheld, chunk_token_recursive, distill_tick,
     )
@@ -264,6 +271,7 @@ SQL = {
         select id, access_tags, list_concat(['memory.owner:' || coalesce(creator, 'nobody')], coalesce(access_tags, []), case when kind = 'note' then ['memory.tenant:' || tenant_id] else [] end, ['memory.owner:u1'], ['memory.space:s1']) as l from ({_CREATOR})))"""
     ),
     "acl_filter": chain(_ACL),
+    "acl_default": chain(f"select distinct creator as principal_id, id as document_id from ({_CREATOR}) where creator in ('u1', 'u2', 'u3')"),
     "audience_split": chain(
         """select id, array_to_string(list_filter(p, lambda t: list_contains(s, t)), ',') as allowed, array_to_string(list_filter(p, lambda t: not list_contains(s, t)), ',') as needs_approval
         from (select id, list_concat(access_tags, ['memory.space:s1']) as p, list_filter(access_tags, lambda t: starts_with(t, 'memory.owner')) as s from doc)"""

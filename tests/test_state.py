@@ -26,24 +26,29 @@ from palimpsest.streaming.feed import feed_stream, numbered
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .\n", max_size=300), st.integers(2, 20), st.integers(0, 4), st.integers(0, 3))
 def test_chunks_cover_and_fit(text, most, least, overlap):
-    spans = C.chunk_spans(text, most, least, overlap)
-    assert (not text) == (not spans)
+    chunks = C.chunk_texts(text, most, least, overlap)
+    spans = [(a, b) for a, b, _ in chunks]
+    assert (not text) == (not spans) and all(c == text[a:b] for a, b, c in chunks[:-1])
     if spans:
         assert spans[0][0] == 0 and spans[-1][1] == len(text)
-        assert all(a[1] >= b[0] > a[0] and b[1] > a[1] for a, b in zip(spans, spans[1:], strict=False))
-        assert all(b - a <= most * 4 for a, b in spans[:-1]) and spans[-1][1] - spans[-1][0] <= most * 4 + least * 4
+        assert all(a[1] >= b[0] >= a[0] and b[1] > a[1] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(b - a <= (most + overlap) * 4 for a, b in spans[:-1]) and spans[-1][1] - spans[-1][0] <= (most + overlap + least) * 4
 
 
 def test_chunker_cases():
     long = "This is a sentence of the text. " * 400
-    spans = C.chunk_spans(long)
+    spans = [(a, b) for a, b, _ in C.chunk_texts(long)]
     assert len(spans) > 1 and all(b - a <= 2800 for a, b in spans)
-    assert C.chunk_spans("A short note.") == [(0, 13)] and C.chunk_spans("") == []
+    assert C.chunk_texts("A short note.") == [(0, 13, "A short note.")] and C.chunk_texts("") == []
+    # worked out by hand, with bounds of 8, 4 and 4 characters
+    assert [c for *_, c in C.chunk_texts("aa bb cc dd ee", 2, 1, 1)] == ["aa bb ", "bb cc ", "cc dd ee"]
+    assert C.chunk_texts("aaaa bb ccccccc d", 2, 1, 1) == [(0, 8, "aaaa bb "), (5, 17, "bb ccccccc d")]
+    assert C.chunk_texts("aaa bbb cc", 2, 1, 1) == [(0, 8, "aaa bbb "), (4, 10, "bbb cc")] and C.chunk_texts("aaa bbb cc", 2, 2, 1) == [(0, 10, "aaa bbb bbb cc")]
     words = " ".join(f"w{i} alpha beta." for i in range(200))
-    spans = C.chunk_spans(words, 100, 10, 20)
+    spans = [(a, b) for a, b, _ in C.chunk_texts(words, 100, 10, 20)]
     assert all(words[a:b].split()[-3:] == [x for x in words[a:b].split()[-3:] if x in words[c:d].split()] for (a, b), (c, d) in zip(spans, spans[1:], strict=False))
     text = "alpha beta gamma-delta-epsilon-zeta-eta-theta-iota z"
-    last = C.chunk_spans(text, 10, 3, 0)[-1]
+    last = C.chunk_texts(text, 10, 3, 0)[-1]
     assert last[1] - last[0] >= 12 and text[last[0] : last[1]].endswith("z")
 
 
@@ -107,11 +112,11 @@ def references_fixture(spark):
     return edges, add, R.parents(doc, ver, none, none)
 
 
-@pytest.mark.parametrize("hot", [R.HOT, 1])
-def test_broken_references(spark, hot):
+@pytest.mark.parametrize("hot,hot_keys", [(R.HOT, R.HOT_KEYS), (1, 100), (1, 3)])
+def test_broken_references(spark, hot, hot_keys):
     edges, add, parents = references_fixture(spark)
     children = R.edge_references(edges).unionByName(R.derived_references(add))
-    got = {(r.src_id, r.src_field, r.ref): "".join(x[0] for x in ("missing", "foreign", "deleted", "late") if r[x]) for r in R.broken_references(children, parents, hot).collect()}
+    got = {(r.src_id, r.src_field, r.ref): "".join(x[0] for x in ("missing", "foreign", "deleted", "late") if r[x]) for r in R.broken_references(children, parents, hot, hot_keys).collect()}
     assert got == {
         ("e2", "from_ref", "d"): "m", ("e2", "to_ref", "W"): "d", ("e3", "from_ref", "E"): "f", ("e3", "to_ref", "X"): "l", ("e5", "from_ref", "D"): "m", ("e5", "to_ref", "C"): "m",
         ("e6", "from_ref", "D"): "f", ("e6", "to_ref", "V"): "f", ("r1", "derived_from", "Q"): "m",
