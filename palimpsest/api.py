@@ -20,6 +20,7 @@ from palimpsest.functions import scoring as S
 from palimpsest.functions.text import lexemes, snippet
 from palimpsest.operators import access, chunker, lifecycle, search, timeline
 from palimpsest.operators.corpus import LIVE, Corpus, search_rows
+from palimpsest.runtime import durable
 from palimpsest.sources import schemas as T
 from palimpsest.sources.embedding import Embedder, Models, embed_chunks, probe_dims, upsert_embeddings
 from palimpsest.sources.live import SourceProvider, collect_live, live_frame
@@ -27,7 +28,21 @@ from palimpsest.sources.store import SnapshotStore
 
 
 class Memory:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, model: tuple[str, str] = ("local", "default"), reranker: Callable | None = None, sources: Sequence[SourceProvider] = (), language: str = "simple", clock: Callable[[], datetime] = datetime.utcnow):
+    """One store with what it is searched by. `conditions` says which named conditions of grants hold just now."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        embedder: Embedder | None = None,
+        model: tuple[str, str] = ("local", "default"),
+        reranker: Callable | None = None,
+        sources: Sequence[SourceProvider] = (),
+        language: str = "simple",
+        clock: Callable[[], datetime] = datetime.utcnow,
+        conditions: dict[str, Callable[[], bool]] | None = None,
+    ):
+        self.conditions = conditions
         self.spark, self.store, self.embedder, self.reranker, self.sources, self.language, self.clock = spark, SnapshotStore(spark, root), embedder, reranker, list(sources), language, clock
         self.store.bootstrap(language)
         self.dims = probe_dims(embedder) if embedder else None
@@ -44,8 +59,8 @@ class Memory:
     def _now(self):
         return F.lit(self.clock()).cast("timestamp_ntz")
 
-    def _corpus(self) -> Corpus:
-        return Corpus(self.store.read("document"), self.store.live_versions(), self.store.read("chunk"), self.store.read("embedding"), self.store.read("edge"), self.store.read("entity"))
+    def _corpus(self, tenant_id: str) -> Corpus:
+        return Corpus(*(self.store.versions(tenant_id) if n == "version" else self.store.read(n, tenant_id) for n in ("document", "version", "chunk", "embedding", "edge", "entity")))
 
     # adding -----------------------------------------------------------------------------------------------------------
 
@@ -69,15 +84,15 @@ class Memory:
         row = row.withColumn("access_tags", access.access_tags(F.col("principal"), F.col("explicit"), F.lit(None).cast("string"), F.col("peers"), F.array().cast("array<string>")))
         row = row.withColumn("chunks", chunker.chunk_udf()(F.col("text"))).withColumn("content_hash", H.content_hash(F.col("title"), F.col("kind"), F.col("external_ref"), F.col("attributes"), F.transform("chunks", lambda c: c["text"]))).withColumn("seq", F.lit(1))
         row = row.cache()
-        versions = self.store.read("version")
+        versions = self.store.read("version", tenant_id)
         plan = lifecycle.capture(row.select("tenant_id", "document_id", "seq", "content_hash"), versions).collect()  # one document: at most two rows
         new = [p for p in plan if p.is_new]
         first = row.select("document_id").first()
         payload = F.to_json(F.struct("title", "kind", "external_ref", "attributes", "text", "access_tags", "principal", "generator_agent_id", "provenance", "temporal_class", "valid_until"))
         raw = row.select("*", payload.alias("raw_text")).withColumn("source_hash", H.source_hash(F.col("adapter"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.col("raw_text")))
         raw = raw.select(H.record_id("kraw", F.col("tenant_id"), F.col("source_hash")).alias("id"), "tenant_id", "adapter", "external_ref", F.col("occurred_at").alias("fetched_at"), F.lit("application/json").alias("content_type"), "raw_text", F.lit("{}").alias("metadata"), "source_hash")
-        raw = lifecycle.dedupe_raw(raw, self.store.read("raw_capture"))
-        old_docs = self.store.read("document")
+        raw = lifecycle.dedupe_raw(raw, self.store.read("raw_capture", tenant_id))
+        old_docs = self.store.read("document", tenant_id)
         touched = row.select(F.col("document_id").alias("id"), "tenant_id", "kind", "title", "adapter", "external_ref", "access_tags", "attributes", F.lit(now).cast("timestamp_ntz").alias("created_at"), F.lit(now).cast("timestamp_ntz").alias("last_seen_at"))
         before = old_docs.where(F.col("id") == first.document_id).select("created_at", "access_tags").head(1)
         if before:
@@ -86,11 +101,11 @@ class Memory:
                 touched = old_docs.where(F.col("id") == first.document_id).withColumn("last_seen_at", F.lit(now).cast("timestamp_ntz"))
         docs = old_docs.where(F.col("id") != first.document_id).unionByName(touched)
         if not new:
-            self.store.commit(replace={"document": docs}, append={"raw_capture": raw})
+            self.store.commit(tenant_id, replace={"document": docs}, append={"raw_capture": raw})
             row.unpersist()
             return {"status": "noop", "document_id": first.document_id, "version_id": next((p.id for p in plan), None), "chunks": 0, "degraded": []}
         v = new[-1]
-        seq = (versions.agg(F.max("feed_seq")).first()[0] or 0) + 1
+        seq = self.store.last_feed_seq() + 1
         made = row.select(
             F.lit(v.id).alias("id"), "tenant_id", "document_id", F.lit(v.version).alias("version"), F.lit(v.supersedes_version_id).alias("supersedes_version_id"), F.lit("active").alias("status"), "content_hash", "occurred_at", F.lit(now).cast("timestamp_ntz").alias("ingested_at"),
             F.col("principal").alias("created_by_principal_id"), "created_by_kind", "generator_agent_id", "authority", F.lit(1).alias("actor_count"), F.lit(False).alias("has_social_signal"), F.col("lineage_class").alias("source_class"), F.lit(LIVE).alias("generation"), "provenance",
@@ -98,47 +113,51 @@ class Memory:
         )
         kept = versions.withColumn("status", F.when(F.col("id") == v.supersedes_version_id, "superseded").otherwise(F.col("status"))) if v.supersedes_version_id else versions
         chunks = row.select("tenant_id", F.lit(v.id).alias("version_id"), "document_id", F.inline("chunks")).select(H.record_id("kchk", F.col("document_id"), F.col("version_id"), F.col("ordinal")).alias("id"), "tenant_id", "version_id", "document_id", "ordinal", "text", F.lit(None).cast("string").alias("role"), F.lit(now).cast("timestamp_ntz").alias("created_at"))
+        entry = made.select("feed_seq", "tenant_id", F.col("id").alias("version_id"), "document_id", F.lit(kind).alias("kind"), F.lit(title).alias("title"), "status", "created_by_kind", "generator_agent_id", "provenance", "occurred_at", F.col("ingested_at").alias("created_at"))
+        entry = entry.join(row.select("document_id", "access_tags"), "document_id")
         edges = self.spark.createDataFrame([(tenant_id, "derived_from", "version", v.id, "version", d) for d in derived_from], "tenant_id string, rel string, from_type string, from_ref string, to_type string, to_ref string")
-        edges = lifecycle.upsert_edges(edges, self.store.read("edge")).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
-        self.store.commit(replace={"document": docs, "version": kept.unionByName(T.conform(made, "version"))}, append={"raw_capture": raw, "chunk": chunks, "edge": edges})
-        degraded = self._embed(v.id, now)
-        n = self.store.read("chunk").where(F.col("version_id") == v.id).count()
+        edges = lifecycle.upsert_edges(edges, self.store.read("edge", tenant_id)).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+        self.store.commit(tenant_id, replace={"document": docs, "version": kept.unionByName(T.conform(made, "version"))}, append={"raw_capture": raw, "chunk": chunks, "edge": edges, "feed_log": entry}, feed_seq=seq)
+        degraded = self._embed(tenant_id, v.id, now)
+        n = self.store.read("chunk", tenant_id).where(F.col("version_id") == v.id).count()
         row.unpersist()
         return {"status": "captured", "document_id": first.document_id, "version_id": v.id, "chunks": n, "degraded": degraded}
 
-    def _embed(self, version_id: str, now: datetime) -> list[str]:
+    def _embed(self, tenant_id: str, version_id: str, now: datetime) -> list[str]:
         """Embeds a version's chunks after its commit; a failure degrades the document to lexical search only."""
         if self.embedder is None:
             return ["lexical_only"]
-        chunks = self.store.read("chunk").where(F.col("version_id") == version_id).withColumnRenamed("id", "chunk_id")
+        chunks = self.store.read("chunk", tenant_id).where(F.col("version_id") == version_id).withColumnRenamed("id", "chunk_id")
         done = embed_chunks(chunks, self.embedder, self.model_key, self.dims).cache()
         failed = done.where("rejected").count()
-        models = Models(self.spark, self.store.read("embed_model"))
-        tenant = chunks.select("tenant_id").first().tenant_id
-        models.ensure(tenant, *self.model, self.dims, now)
-        if models.active(tenant) is None:
-            models.activate(tenant, self.model_key, now)
-        self.store.commit(replace={"embedding": upsert_embeddings(self.store.read("embedding"), done), "embed_model": models.rows})
+        models = Models(self.spark, self.store.read("embed_model", tenant_id))
+        models.ensure(tenant_id, *self.model, self.dims, now)
+        if models.active(tenant_id) is None:
+            models.activate(tenant_id, self.model_key, now)
+        self.store.commit(tenant_id, replace={"embedding": upsert_embeddings(self.store.read("embedding", tenant_id), done), "embed_model": models.rows})
         done.unpersist()
         return ["embed_unavailable"] if failed else []
 
     # searching --------------------------------------------------------------------------------------------------------
 
-    def search(self, tenant_id: str, principal_id: str, query: str = "", limit: int | None = None, kinds: Sequence[str] = (), sources: Sequence[str] = (), grants: DataFrame | None = None, generation: str = LIVE) -> dict:
-        """Hits of one query, best first, with how good the evidence is and what was degraded."""
+    def search(self, tenant_id: str, principal_id: str, query: str = "", limit: int | None = None, kinds: Sequence[str] = (), sources: Sequence[str] = (), grants: DataFrame | None = None, generation: str = LIVE, include_deprecated: bool = False, entity_ids: Sequence[str] = ()) -> dict:
+        """Hits of one query, best first, with how good the evidence is and what was degraded. Of `grants`, or else of those
+        that the store holds, and of what the principal created depends what is shown; evidence that rests on nothing
+        shown is none."""
         k = V.limit(limit, V.SEARCH_LIMIT, 8)
         query = query.strip()
-        if not query and not kinds:
+        if not query and not kinds and not entity_ids:
             raise V.PlaneError(400, "a query or a filter is needed")
         local = not sources or "local" in sources
         out, flags = {"hits": [], "evidence": "none", "degraded": flags_of([])}, []
-        c = self._corpus()
+        c = self._corpus(tenant_id)
         one = lambda name: getattr(c, name).where(F.col("tenant_id") == tenant_id)
         c = Corpus(*[one(n) for n in ("document", "version", "chunk", "embedding", "edge", "entity")])
         hits = None
         if local:
             q = self.spark.createDataFrame([(1, tenant_id, query)], "query_id long, tenant_id string, query_text string").withColumn("terms", lexemes(F.col("query_text"), self.language))
-            rows = search_rows(c, generation, list(kinds) or None)
+            wanted = self.spark.createDataFrame([(e,) for e in entity_ids], "entity_id string") if entity_ids else None
+            rows = search_rows(c, generation, list(kinds) or None, include_deprecated, wanted)
             texts = c.chunk.select("tenant_id", F.col("id").alias("chunk_id"), "text")
             n = S.overfetch(k)
             if query:
@@ -149,7 +168,9 @@ class Memory:
             if self.embedder is not None and query:
                 try:
                     vector = [float(x) for x in self.embedder([query])[0]]
-                    qv = self.spark.createDataFrame([(1, tenant_id, self.model_key, vector)], "query_id long, tenant_id string, model_key string, vector array<float>")
+                    active = Models(self.spark, self.store.read("embed_model", tenant_id)).active(tenant_id)
+                    key = active.model_key if generation == LIVE and active else self.model_key
+                    qv = self.spark.createDataFrame([(1, tenant_id, key, vector)], "query_id long, tenant_id string, model_key string, vector array<float>")
                     dense = search.dense_topk(qv, c.embedding.join(rows.select("chunk_id"), "chunk_id", "left_semi"), n, self.dims)
                 except Exception:
                     flags.append("dense_unavailable")
@@ -175,11 +196,7 @@ class Memory:
             label = search.evidence(cand, n_hits, best).head(1)
             out["evidence"] = label[0].evidence if label else "none"
             shown = top.join(texts.select("chunk_id", snippet(F.col("text")).alias("snippet")), "chunk_id").join(search.entity_ids(c.edge), ["tenant_id", "document_id"], "left").join(search.derived_from(c.edge), ["tenant_id", "version_id"], "left")
-            if grants is not None:
-                d = access.creators(c.document, c.version).select(F.col("id").alias("document_id"), "access_tags", "creator")
-                me = self.spark.createDataFrame([(principal_id,)], "principal_id string")
-                shown = shown.join(access.visible_documents(d, access.effective_grants(grants, self._now()), me).select("document_id"), "document_id", "left_semi")
-            hits = shown
+            hits = shown.join(self._visible(c, principal_id, grants).select("document_id"), "document_id", "left_semi")
         if self.sources and (not sources or any(s != "local" for s in sources)):
             live = collect_live(self.sources, query, tenant_id, principal_id, k, [s for s in sources if s != "local"] or None)
             flags += live.degraded
@@ -192,6 +209,8 @@ class Memory:
             names = ("rank", "chunk_id", "document_id", "version_id", "title", "adapter", "external_ref", "score", "channels", "supports", "contradicts", "snippet", "entity_ids", "derived_from")
             out["hits"] = [r.asDict() for r in hits.select(*names).orderBy("rank").collect()]
             cand.unpersist()
+        if not out["hits"]:
+            out["evidence"] = "none"
         out["degraded"] = flags_of(flags)
         return out
 
@@ -199,24 +218,23 @@ class Memory:
 
     def list(self, tenant_id: str, principal_id: str, limit=None, grants: DataFrame | None = None) -> list[dict]:
         n = V.limit(limit, V.LIST_LIMIT, 20)
-        c = self._corpus()
-        visible = self._visible(c, tenant_id, principal_id, grants)
+        c = self._corpus(tenant_id)
+        visible = self._visible(c, principal_id, grants)
         return [r.asDict() for r in timeline.timeline(c.document.where(F.col("tenant_id") == tenant_id), c.version, n, visible).orderBy("rank").collect()]
 
-    def _visible(self, c: Corpus, tenant_id: str, principal_id: str, grants: DataFrame | None):
-        if grants is None:
-            return None
-        d = access.creators(c.document.where(F.col("tenant_id") == tenant_id), c.version).select(F.col("id").alias("document_id"), "access_tags", "creator")
-        return access.visible_documents(d, access.effective_grants(grants, self._now()), self.spark.createDataFrame([(principal_id,)], "principal_id string"))
+    def _visible(self, c: Corpus, principal_id: str, grants: DataFrame | None) -> DataFrame:
+        """The documents that a principal may see by the grants given, or else by the store's; always those it created."""
+        d = access.creators(c.document, c.version).select(F.col("id").alias("document_id"), "access_tags", "creator")
+        held = access.effective_grants(self.store.read("grant") if grants is None else grants, self._now(), self.conditions)
+        return access.visible_documents(d, held, self.spark.createDataFrame([(principal_id,)], "principal_id string"))
 
     def feed(self, tenant_id: str, principal_id: str, after=None, limit=None, exclude_generator: str | None = None, grants: DataFrame | None = None) -> dict:
         n, start = V.limit(limit, V.FEED_LIMIT, 50), V.cursor(after)
-        c = self._corpus()
+        c = self._corpus(tenant_id)
         rows = timeline.feed_rows(c.document.where(F.col("tenant_id") == tenant_id), c.version, exclude_generator)
         page = timeline.feed_page(rows, self.spark.createDataFrame([(tenant_id, start)], "tenant_id string, after long"), n).cache()
         end = page.agg(F.max("next_cursor")).first()[0]
-        visible = self._visible(c, tenant_id, principal_id, grants)
-        shown = page if visible is None else page.join(visible.select("document_id"), "document_id", "left_semi")
+        shown = page.join(self._visible(c, principal_id, grants).select("document_id"), "document_id", "left_semi")
         entries = [r.asDict() for r in shown.drop("next_cursor", "access_tags").orderBy("feed_seq").collect()]
         page.unpersist()
         return {"entries": entries, "next_cursor": end}
@@ -224,14 +242,14 @@ class Memory:
     # lifecycle --------------------------------------------------------------------------------------------------------
 
     def _owned(self, tenant_id: str, principal_id: str, document_id: str) -> None:
-        row = lifecycle.owners(self.store.read("version").where((F.col("tenant_id") == tenant_id) & (F.col("document_id") == document_id))).head(1)
+        row = lifecycle.owners(self.store.read("version", tenant_id).where((F.col("tenant_id") == tenant_id) & (F.col("document_id") == document_id))).head(1)
         if not row:
             raise V.PlaneError(404, "no such document")
         if row[0].owner != principal_id:
             raise V.PlaneError(403, "only the owner may do this")
 
     def _version(self, tenant_id: str, version_id: str):
-        row = self.store.read("version").where((F.col("tenant_id") == tenant_id) & (F.col("id") == version_id)).head(1)
+        row = self.store.read("version", tenant_id).where((F.col("tenant_id") == tenant_id) & (F.col("id") == version_id)).head(1)
         if not row:
             raise V.PlaneError(404, "no such version")
         return row[0]
@@ -239,44 +257,44 @@ class Memory:
     def deprecate_version(self, tenant_id: str, principal_id: str, version_id: str, reason: str | None = None) -> dict:
         self._owned(tenant_id, principal_id, self._version(tenant_id, version_id).document_id)
         ids = self.spark.createDataFrame([(tenant_id, version_id)], "tenant_id string, id string")
-        after = lifecycle.deprecate(self.store.read("version"), ids, self._now(), reason)
+        after = lifecycle.deprecate(self.store.read("version", tenant_id), ids, self._now(), reason)
         changed = after.where("changed").count()
-        self.store.commit(replace={"version": after})
+        self.store.commit(tenant_id, replace={"version": after})
         return {"changed": changed}
 
     def tombstone_document(self, tenant_id: str, principal_id: str, document_id: str, reason: str | None = None) -> dict:
         self._owned(tenant_id, principal_id, document_id)
         named = self.spark.createDataFrame([(tenant_id, document_id)], "tenant_id string, document_id string")
-        version, chunk = self.store.read("version"), self.store.read("chunk")
+        version, chunk = self.store.read("version", tenant_id), self.store.read("chunk", tenant_id)
         v, c = lifecycle.tombstone(version, chunk, named, self._now(), reason)
         n = v.count()
-        gone = self.store.read("embedding").join(c.select("tenant_id", F.col("id").alias("chunk_id")), ["tenant_id", "chunk_id"], "left_anti")
+        gone = self.store.read("embedding", tenant_id).join(c.select("tenant_id", F.col("id").alias("chunk_id")), ["tenant_id", "chunk_id"], "left_anti")
         keep = lambda all_, new, name: T.conform(all_, name).join(new.select("id"), "id", "left_anti").select(*T.TABLES[name].names).unionByName(T.conform(new, name))
-        self.store.commit(replace={"version": keep(version, v, "version"), "chunk": keep(chunk, c, "chunk"), "embedding": gone})
+        self.store.commit(tenant_id, replace={"version": keep(version, v, "version"), "chunk": keep(chunk, c, "chunk"), "embedding": gone})
         return {"versions": n}
 
     def hard_delete_document(self, tenant_id: str, principal_id: str, document_id: str) -> dict:
         self._owned(tenant_id, principal_id, document_id)
         named = self.spark.createDataFrame([(tenant_id, document_id)], "tenant_id string, document_id string")
-        if not lifecycle.deletable(self.store.read("version"), named).head(1):
+        if not lifecycle.deletable(self.store.read("version", tenant_id), named).head(1):
             return {"deleted": False, "reason": "a durable version is not tombstoned"}
-        self.store.commit(replace=lifecycle.hard_delete({n: self.store.read(n) for n in ("document", "version", "chunk", "embedding")}, named))
+        self.store.commit(tenant_id, replace=lifecycle.hard_delete({n: self.store.read(n) for n in ("document", "version", "chunk", "embedding")}, named))
         return {"deleted": True}
 
     def sweep_ephemeral(self, tenant_id: str) -> dict:
-        v = self.store.read("version")
+        v = self.store.read("version", tenant_id)
         mine = lifecycle.sweep_ephemeral(v.where(F.col("tenant_id") == tenant_id), self._now())
         n = mine.where("changed").count()
-        self.store.commit(replace={"version": v.where(F.col("tenant_id") != tenant_id).unionByName(mine.drop("changed"))})
+        self.store.commit(tenant_id, replace={"version": v.where(F.col("tenant_id") != tenant_id).unionByName(mine.drop("changed"))})
         return {"versions_deprecated": n}
 
     def set_retention_class(self, tenant_id: str, principal_id: str, version_id: str, retention_class: str) -> dict:
         V.one_of(retention_class, T.RETENTION_CLASS, "retention_class")
         self._owned(tenant_id, principal_id, self._version(tenant_id, version_id).document_id)
         wanted = self.spark.createDataFrame([(tenant_id, version_id, retention_class)], "tenant_id string, id string, retention_class string")
-        after = lifecycle.set_retention(self.store.read("version"), wanted)
+        after = lifecycle.set_retention(self.store.read("version", tenant_id), wanted)
         n = after.where("changed").count()
-        self.store.commit(replace={"version": after})
+        self.store.commit(tenant_id, replace={"version": after})
         return {"changed": n}
 
     def share(self, tenant_id: str, principal_id: str, document_id: str, principals: Sequence[str]) -> dict:
@@ -285,8 +303,8 @@ class Memory:
         named = self.spark.createDataFrame([(tenant_id, document_id, principal_id, list(principals))], "tenant_id string, document_id string, sharer string, principals array<string>")
         new = access.share_grants(named).cache()
         tags = named.select("tenant_id", F.col("document_id").alias("id"), F.array(access.document_tag(F.col("document_id"))).alias("tags"))
-        grants = access.put_grants(self.store.read("grant"), T.conform(new, "grant"))
-        self.store.commit(replace={"document": lifecycle.append_tags(self.store.read("document"), tags), "grant": grants})
+        grants = access.put_grants(self.store.read("grant", tenant_id), T.conform(new, "grant"))
+        self.store.commit(tenant_id, replace={"document": lifecycle.append_tags(self.store.read("document", tenant_id), tags), "grant": grants})
         n = new.count()
         new.unpersist()
         return {"written": n}
@@ -298,59 +316,120 @@ class Memory:
     # re-derivation ----------------------------------------------------------------------------------------------------
 
     def create_transform_config(self, tenant_id: str, name: str, params: dict) -> dict:
-        mine = self.store.read("transform_config").where((F.col("tenant_id") == tenant_id) & (F.col("name") == V.non_blank(name, "name")))
+        mine = self.store.read("transform_config", tenant_id).where((F.col("tenant_id") == tenant_id) & (F.col("name") == V.non_blank(name, "name")))
         number = (mine.agg(F.max("version")).first()[0] or 0) + 1
         ident = f"tcfg_{uuid.uuid4().hex[:22]}"
-        self.store.commit(append={"transform_config": self.spark.createDataFrame([(ident, tenant_id, name, number, json.dumps(params, sort_keys=True), self.clock())], T.TRANSFORM_CONFIG)})
+        self.store.commit(tenant_id, append={"transform_config": self.spark.createDataFrame([(ident, tenant_id, name, number, json.dumps(params, sort_keys=True), self.clock())], T.TRANSFORM_CONFIG)})
         return {"id": ident, "version": number}
 
     def list_transform_configs(self, tenant_id: str) -> list[dict]:
-        return [r.asDict() for r in self.store.read("transform_config").where(F.col("tenant_id") == tenant_id).orderBy(F.desc("created_at"), "id").collect()]
+        return [r.asDict() for r in self.store.read("transform_config", tenant_id).where(F.col("tenant_id") == tenant_id).orderBy(F.desc("created_at"), "id").collect()]
 
     def run_transform(self, tenant_id: str, config_id: str, adapter: str | None = None, since: datetime | None = None, until: datetime | None = None) -> dict:
         """Derives a new generation from the raw captures under a configuration. Captures that don't parse are counted and
         don't stop the others; documents that were tombstoned stay out, and document rows are not touched."""
-        config = self.store.read("transform_config").where((F.col("tenant_id") == tenant_id) & (F.col("id") == config_id)).head(1)
+        config = self.store.read("transform_config", tenant_id).where((F.col("tenant_id") == tenant_id) & (F.col("id") == config_id)).head(1)
         if not config:
             raise V.PlaneError(404, "no such configuration")
         caps = json.loads(config[0].params).get("chunk", {})
         run, now = f"trun_{uuid.uuid4().hex[:22]}", self.clock()
-        raw = lifecycle.raw_scan(self.store.read("raw_capture"), tenant_id, adapter, since, until)
+
+        def record(status: str, done: int, made: int, error: str | None) -> DataFrame:
+            return self.spark.createDataFrame([(run, tenant_id, config_id, run, json.dumps({"adapter": adapter} if adapter else {}), status, done, made, error, now, self.clock(), None, None, None)], T.TRANSFORM_RUN)
+
+        if self.embedder is None:
+            error = "1/1 raw_capture row(s) failed to re-derive; first error: no embedder is configured"
+            self.store.commit(tenant_id, append={"transform_run": record("failed", 0, 0, error)})
+            return {"run_id": run, "generation": run, "status": "failed", "raw_count": 0, "version_count": 0, "error": error}
+        raw = lifecycle.raw_scan(self.store.read("raw_capture", tenant_id), tenant_id, adapter, since, until)
         raw = raw.withColumn("seq", F.row_number().over(_order("tenant_id", "adapter", "external_ref")))
         good, bad = lifecycle.parse_raw(raw, "title string, kind string, external_ref string, attributes string, text string, access_tags array<string>, principal string, generator_agent_id string, provenance string, temporal_class string, valid_until timestamp_ntz")
-        dead = self.store.read("version").where("status = 'tombstoned'").select("tenant_id", "document_id").distinct()
+        dead = self.store.read("version", tenant_id).where("status = 'tombstoned'").select("tenant_id", "document_id").distinct()
         p = good.select("tenant_id", "adapter", "seq", "fetched_at", "payload.*").withColumn("lineage_class", F.lit(None).cast("string"))
         p = lifecycle.defaults(p).withColumn("document_id", H.record_id("kdoc", F.col("tenant_id"), F.col("adapter"), F.col("external_ref"))).join(dead, ["tenant_id", "document_id"], "left_anti")
         cut = chunker.chunk_udf(caps.get("max_tokens", chunker.MAX_TOKENS), caps.get("min_tokens", chunker.MIN_TOKENS), caps.get("overlap_tokens", chunker.OVERLAP_TOKENS))
         p = p.withColumn("chunks", cut(F.col("text"))).withColumn("content_hash", H.content_hash(F.col("title"), F.col("kind"), F.col("external_ref"), F.col("attributes"), F.transform("chunks", lambda c: c["text"])))
         made = lifecycle.versions_of(p).withColumn("id", H.record_id("kver", F.col("tenant_id"), F.col("document_id"), F.lit(run), F.col("version")))
-        last = self.store.read("version").agg(F.max("feed_seq")).first()[0] or 0
-        kept = self.store.read("version").groupBy("tenant_id", "document_id").agg(F.max_by("retention_class", "version").alias("retention_class"))
+        last = self.store.last_feed_seq()
+        kept = self.store.read("version", tenant_id).groupBy("tenant_id", "document_id").agg(F.max_by("retention_class", "version").alias("retention_class"))
         from palimpsest.streaming.feed import numbered
 
         v = numbered(made.withColumn("ingested_at", F.lit(now).cast("timestamp_ntz")), last).join(kept, ["tenant_id", "document_id"], "left").cache()
         rows = v.select("id", "tenant_id", "document_id", "version", "status", "content_hash", F.col("fetched_at").alias("occurred_at"), "ingested_at", F.col("principal").alias("created_by_principal_id"), "created_by_kind", "generator_agent_id", "authority", F.lit(1).alias("actor_count"), F.lit(False).alias("has_social_signal"), F.col("lineage_class").alias("source_class"), F.lit(run).alias("generation"), "provenance", "temporal_class", "valid_until", "feed_seq", F.coalesce("retention_class", F.lit("standard")).alias("retention_class"))
         chunks = v.select("tenant_id", F.col("id").alias("version_id"), "document_id", "ingested_at", F.inline("chunks")).select(H.record_id("kchk", F.col("document_id"), F.col("version_id"), F.col("ordinal")).alias("id"), "tenant_id", "version_id", "document_id", "ordinal", "text", F.col("ingested_at").alias("created_at"))
-        failed, total, versions = bad.count(), raw.count(), rows.count()
+        # a version of which a chunk can't be embedded is left out, and its capture counts as failed
+        vectors = durable(embed_chunks(chunks.withColumnRenamed("id", "chunk_id"), self.embedder, self.model_key, self.dims))
+        owner = chunks.select(F.col("id").alias("chunk_id"), "version_id")
+        lost = durable(vectors.where("rejected").join(owner, "chunk_id").groupBy("version_id").agg(F.min("error").alias("error")))
+        good_rows = rows.join(lost, F.col("id") == F.col("version_id"), "left_anti")
+        good_chunks = chunks.join(lost, "version_id", "left_anti")
+        good_vectors = vectors.join(owner.join(lost, "version_id", "left_anti"), "chunk_id", "left_semi")
+        n_bad, n_lost, total, versions = bad.count(), lost.count(), raw.count(), good_rows.count()
+        failed, error = n_bad + n_lost, None
+        if failed:
+            first = [f"the payload of {r.id} can't be read" for r in bad.orderBy("fetched_at", "id").select("id").head(1)] or [r.error or "a vector was refused" for r in lost.orderBy("version_id").head(1)]
+            error = f"{failed}/{max(total, failed)} raw_capture row(s) failed to re-derive; first error: {first[0]}"
         status = "failed" if failed else "completed"
-        error = f"{failed}/{total} raw_capture row(s) failed" if failed else None
-        record = self.spark.createDataFrame([(run, tenant_id, config_id, run, json.dumps({"adapter": adapter} if adapter else {}), status, total, versions, error, now, self.clock(), None, None, None)], T.TRANSFORM_RUN)
-        self.store.commit(append={"version": rows, "chunk": chunks, "transform_run": record})
+        models = Models(self.spark, self.store.read("embed_model", tenant_id))
+        models.ensure(tenant_id, *self.model, self.dims, now)
+        self.store.commit(
+            tenant_id,
+            replace={"embedding": upsert_embeddings(self.store.read("embedding", tenant_id), good_vectors), "embed_model": models.rows},
+            append={"version": good_rows, "chunk": good_chunks, "transform_run": record(status, total - failed, versions, error)},
+            feed_seq=good_rows.agg(F.max("feed_seq")).first()[0],
+        )
         v.unpersist()
-        return {"run_id": run, "generation": run, "status": status, "raw_count": total, "version_count": versions, "error": error}
+        return {"run_id": run, "generation": run, "status": status, "raw_count": total - failed, "version_count": versions, "error": error}
 
-    def promote_generation(self, tenant_id: str, generation: str) -> dict:
-        run = self.store.read("transform_run").where((F.col("tenant_id") == tenant_id) & (F.col("generation") == generation)).head(1)
+    def _run(self, tenant_id: str, generation: str):
+        runs = self.store.read("transform_run", tenant_id)
+        run = runs.where((F.col("tenant_id") == tenant_id) & (F.col("generation") == generation)).head(1)
         if not run:
             raise V.PlaneError(404, "no such generation")
-        if not lifecycle.promotable(run[0].status):
-            raise V.PlaneError(400, f"a run that is {run[0].status} can't be promoted")
-        archive = f"archive_{generation}"
-        self.store.promote(tenant_id, generation, archive)
+        return runs, run[0]
+
+    def _promoted(self, runs: DataFrame, run, archive: str | None, model_key: str | None) -> DataFrame:
+        """The runs with what a promotion (or, with None, a demotion) of one of them notes there."""
+        mine = F.col("id") == run.id
+        at = self._now() if archive else F.lit(None)
+        noted = {"archived_live_generation": F.lit(archive), "archived_live_model_key": F.lit(model_key), "promoted_at": at}
+        return runs.withColumns({c: F.when(mine, x.cast(T.TRANSFORM_RUN[c].dataType)).otherwise(F.col(c)) for c, x in noted.items()})
+
+    def promote_generation(self, tenant_id: str, generation: str) -> dict:
+        """Makes a completed generation live and its model the active one; keeps what was live under a name of its own."""
+        if generation == LIVE:
+            raise V.PlaneError(400, "the live generation can't be promoted onto itself")
+        runs, run = self._run(tenant_id, generation)
+        if run.promoted_at is not None:
+            raise V.PlaneError(400, f"generation {generation} is already promoted")
+        if not lifecycle.promotable(run.status):
+            raise V.PlaneError(400, f"a run that is {run.status} can't be promoted")
+        if not self.store.read("transform_config", tenant_id).where(F.col("id") == run.config_id).head(1):
+            raise V.PlaneError(404, "no such configuration")
+        if self.embedder is None:
+            raise V.PlaneError(400, "no embedder is configured")
+        models, now = Models(self.spark, self.store.read("embed_model", tenant_id)), self.clock()
+        before = models.active(tenant_id)
+        models.ensure(tenant_id, *self.model, self.dims, now)
+        models.activate(tenant_id, self.model_key, now)
+        archive = f"archive_{run.id}_{self.store.number()}"
+        self.store.commit(tenant_id, replace={"transform_run": self._promoted(runs, run, archive, before.model_key if before else None), "embed_model": models.rows}, aliases=self.store.promoting(tenant_id, generation, archive))
         return {"archived_as": archive}
 
     def demote_generation(self, tenant_id: str, generation: str) -> dict:
-        self.store.demote(tenant_id, f"archive_{generation}")
+        """Makes live again what the promotion of a generation archived, and the model that was active then."""
+        runs, run = self._run(tenant_id, generation)
+        if run.promoted_at is None or run.archived_live_generation is None:
+            raise V.PlaneError(400, f"generation {generation} is not promoted")
+        models, now = Models(self.spark, self.store.read("embed_model", tenant_id)), self.clock()
+        if run.archived_live_model_key is None:
+            models.clear(tenant_id, now)
+        else:
+            try:
+                models.activate(tenant_id, run.archived_live_model_key, now)
+            except KeyError as error:
+                raise V.PlaneError(400, f"the model that was active can't be restored: {error}") from error
+        self.store.commit(tenant_id, replace={"transform_run": self._promoted(runs, run, None, None), "embed_model": models.rows}, aliases=self.store.demoting(tenant_id, run.archived_live_generation))
         return {"live": self.store.generation(tenant_id)}
 
 

@@ -28,9 +28,10 @@ EMBEDDING = _table(chunk_id=S, tenant_id=S, model_key=S, embedding=T.ArrayType(T
 TRANSFORM_CONFIG = _table(id=S, tenant_id=S, name=S, version=I, params=S, created_at=TS)
 TRANSFORM_RUN = _table(id=S, tenant_id=S, config_id=S, generation=S, scope=S, status=S, raw_count=I, version_count=I, error=S, created_at=TS, completed_at=TS, archived_live_generation=S, archived_live_model_key=S, promoted_at=TS)
 GRANT = _table(id=S, principal_id=S, resource=S, action=S, effect=S, origin=S, role_id=S, expires_at=TS, conditions=S)
+FEED_LOG = _table(feed_seq=L, tenant_id=S, version_id=S, document_id=S, kind=S, title=S, status=S, created_by_kind=S, generator_agent_id=S, provenance=S, occurred_at=TS, created_at=TS, access_tags=TAGS)
 TABLES = {
     "document": DOCUMENT, "raw_capture": RAW_CAPTURE, "version": VERSION, "chunk": CHUNK, "entity": ENTITY, "edge": EDGE, "embed_model": EMBED_MODEL, "embedding": EMBEDDING,
-    "transform_config": TRANSFORM_CONFIG, "transform_run": TRANSFORM_RUN, "grant": GRANT,
+    "transform_config": TRANSFORM_CONFIG, "transform_run": TRANSFORM_RUN, "grant": GRANT, "feed_log": FEED_LOG,
 }
 
 #: Closed sets of values (fixed values).

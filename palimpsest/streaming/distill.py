@@ -71,13 +71,21 @@ def tick(spark, feed: DataFrame, after: dict[str, int], distil, write: Callable[
     return counts, {t: ends.get(t, a) for t, a in after.items()}
 
 
-def start(stream: DataFrame, distil, write: Callable[[DataFrame], None], quarantine: Callable[[DataFrame], None], checkpoint: str, every: str | None = "5 minutes", agent: str = AGENT):
-    """The same as a stream: every micro-batch of feed entries is judged once and dealt to the two sinks."""
+def folder_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to a folder of its own under `path`; a batch that is done again replaces its folder, so a
+    retry writes nothing twice."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    def batch(df: DataFrame, _: int) -> None:
+
+def start(stream: DataFrame, distil, write: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "5 minutes", agent: str = AGENT):
+    """The same as a stream: every micro-batch of feed entries is judged once and dealt to the two sinks. A sink gets the
+    rows and the batch's number; after a failure a batch comes again with the same number and rows, which tells the sink
+    what it has written already (`folder_sink` does that)."""
+
+    def batch(df: DataFrame, number: int) -> None:
         done = distil_page(df, distil, agent).persist()
-        write(done.where("outcome = 'write'"))
-        quarantine(done.where("outcome = 'poison'"))
+        write(done.where("outcome = 'write'"), number)
+        quarantine(done.where("outcome = 'poison'"), number)
         done.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

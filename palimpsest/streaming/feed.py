@@ -1,21 +1,22 @@
-"""The feed as a stream over the append-only version log."""
+"""The feed as a stream over the append-only feed log."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.sources.schemas import VERSION
+from palimpsest.sources.schemas import FEED_LOG
 
 
 def feed_stream(spark: SparkSession, path: str, files_per_batch: int = 16, exclude_generator: str | None = None) -> DataFrame:
-    """Live versions that are active or superseded, as they are appended under `path`. The checkpoint of the query that
-    reads the stream is its cursor."""
-    v = spark.readStream.schema(VERSION).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    v = v.where((F.col("generation") == "live") & F.col("status").isin("active", "superseded"))
+    """Feed entries of active or superseded live versions, as they are appended to the feed log under `path` (see
+    `SnapshotStore.feed_path`). The checkpoint of the query that reads the stream is its cursor. Rows without a sequence
+    number are left out."""
+    v = spark.readStream.schema(FEED_LOG).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    v = v.where(F.col("feed_seq").isNotNull() & F.col("status").isin("active", "superseded"))
     if exclude_generator is not None:
         v = v.where(F.col("generator_agent_id").isNull() | (F.col("generator_agent_id") != exclude_generator))
-    return v.select("feed_seq", "tenant_id", F.col("id").alias("version_id"), "document_id", "status", "created_by_kind", "generator_agent_id", "provenance", "occurred_at", F.col("ingested_at").alias("created_at"))
+    return v
 
 
 def numbered(batch: DataFrame, after: int) -> DataFrame:
