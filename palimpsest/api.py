@@ -65,8 +65,15 @@ class Memory:
     # adding -----------------------------------------------------------------------------------------------------------
 
     def add(self, tenant_id: str, principal_id: str, title: str, text: str, kind: str = "note", external_ref: str | None = None, adapter: str = "http", access_tags: Sequence[str] = (), peers: Sequence[str] = (), attributes: dict | None = None,
-            generator_agent_id: str | None = None, provenance: str | None = None, temporal_class: str | None = None, valid_until: str | None = None, derived_from: Sequence[str] = (), occurred_at: datetime | None = None) -> dict:
-        """Adds one document or a new version of it; gives its ids, `captured` or `noop`, and what was degraded."""
+            generator_agent_id: str | None = None, provenance: str | None = None, temporal_class: str | None = None, valid_until: str | None = None, derived_from: Sequence[str] = (), occurred_at: datetime | None = None, entities: Sequence[tuple[str, str]] = (), edges: Sequence[tuple[str, str, str]] = ()) -> dict:
+        """Adds one document or a new version of it; gives its ids, `captured` or `noop`, and what was degraded.
+
+        entities: (kind, identifier) that must be known. edges: (rel, type, ref) from the document; a ref of type `native`
+        is a principal's identifier and leads to its entity. Document, raw capture, version, chunks, entities and edges
+        become visible in one commit.
+        """
+        for rel, kind_, _ in edges:
+            V.one_of(rel, T.REL, "rel"), V.one_of(kind_, (*T.REF_TYPE, "native"), "to_type")
         V.non_blank(tenant_id, "tenant_id"), V.non_blank(principal_id, "principal_id")
         V.bounded(V.non_blank(title, "title"), "title", V.TITLE), V.bounded(V.non_blank(kind, "kind"), "kind", V.KIND), V.non_blank(text, "text")
         if provenance is not None:
@@ -115,9 +122,18 @@ class Memory:
         chunks = row.select("tenant_id", F.lit(v.id).alias("version_id"), "document_id", F.inline("chunks")).select(H.record_id("kchk", F.col("document_id"), F.col("version_id"), F.col("ordinal")).alias("id"), "tenant_id", "version_id", "document_id", "ordinal", "text", F.lit(None).cast("string").alias("role"), F.lit(now).cast("timestamp_ntz").alias("created_at"))
         entry = made.select("feed_seq", "tenant_id", F.col("id").alias("version_id"), "document_id", F.lit(kind).alias("kind"), F.lit(title).alias("title"), "status", "created_by_kind", "generator_agent_id", "provenance", "occurred_at", F.col("ingested_at").alias("created_at"))
         entry = entry.join(row.select("document_id", "access_tags"), "document_id")
+        hints = [(tenant_id, k, i) for k, i in (*entities, *(("principal", ref) for _, kind_, ref in edges if kind_ == "native"))]
+        asked = self.spark.createDataFrame(hints, "tenant_id string, kind string, identifier string")
+        known = self.store.read("entity", tenant_id)
+        fresh = lifecycle.upsert_entities(asked, known).withColumn("created_at", F.lit(now).cast("timestamp_ntz")).withColumn("updated_at", F.col("created_at"))
+        all_ = T.conform(known, "entity").unionByName(T.conform(fresh, "entity"))
+        person = all_.where("kind = 'principal'").select(F.get_json_object("identifiers", "$.value").alias("ref"), "id").groupBy("ref").agg(F.min("id").alias("id"))
+        ends = self.spark.createDataFrame([(tenant_id, rel, "document", first.document_id, kind_, ref) for rel, kind_, ref in edges], "tenant_id string, rel string, from_type string, from_ref string, to_type string, ref string")
+        ends = ends.join(person, "ref", "left").withColumn("native", F.col("to_type") == "native")
+        ends = ends.select("tenant_id", "rel", "from_type", "from_ref", F.when(F.col("native"), "entity").otherwise(F.col("to_type")).alias("to_type"), F.when(F.col("native"), F.col("id")).otherwise(F.col("ref")).alias("to_ref"))
         edges = self.spark.createDataFrame([(tenant_id, "derived_from", "version", v.id, "version", d) for d in derived_from], "tenant_id string, rel string, from_type string, from_ref string, to_type string, to_ref string")
-        edges = lifecycle.upsert_edges(edges, self.store.read("edge", tenant_id)).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
-        self.store.commit(tenant_id, replace={"document": docs, "version": kept.unionByName(T.conform(made, "version"))}, append={"raw_capture": raw, "chunk": chunks, "edge": edges, "feed_log": entry}, feed_seq=seq)
+        edges = lifecycle.upsert_edges(edges.unionByName(ends), self.store.read("edge", tenant_id)).withColumn("created_at", F.lit(now).cast("timestamp_ntz"))
+        self.store.commit(tenant_id, replace={"document": docs, "version": kept.unionByName(T.conform(made, "version"))}, append={"raw_capture": raw, "chunk": chunks, "edge": edges, "entity": fresh, "feed_log": entry}, feed_seq=seq)
         degraded = self._embed(tenant_id, v.id, now)
         n = self.store.read("chunk", tenant_id).where(F.col("version_id") == v.id).count()
         row.unpersist()

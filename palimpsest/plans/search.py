@@ -1,7 +1,7 @@
 """Registered queries of retrieval: a batch of hybrid searches, stage by stage, with their SQL.
 
-The batch holds a query for every feed entry whose sequence number is divisible by 50: up to two lower-case words of its
-title as terms, and the vector of its version's first chunk. Every query is asked of all rows of its tenant.
+The batch holds a query for every feed entry whose sequence number is divisible by 50: one to four words of its title as
+terms, and the vector of its version's first chunk. Every query is asked of all rows of its tenant.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ class Batch:
         self.texts = table(spark, root, "memory_chunk").select("tenant_id", F.col("id").alias("chunk_id"), "text")
         feed = table(spark, root, "feed_entry").where(F.col("feed_seq") % 50 == 0).dropDuplicates(["feed_seq"])
         words = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-        plain = F.filter(words, lambda w: (w == F.lower(w)) & (F.length(w) >= 4) & ~w.rlike("[0-9]"))
-        self.queries = feed.select(F.col("feed_seq").alias("query_id"), "tenant_id", "version_id", F.col("title").alias("query_text"), F.array_distinct(F.slice(F.coalesce(plain, F.array().cast("array<string>")), 1, 2)).alias("terms"))
+        plain = F.filter(F.transform(words, F.lower), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]"))
+        self.queries = feed.select(F.col("feed_seq").alias("query_id"), "tenant_id", "version_id", F.col("title").alias("query_text"), F.array_distinct(F.slice(F.coalesce(plain, F.array().cast("array<string>")), F.lit(1), (F.col("feed_seq") / 50 % 4).cast("int") + 1)).alias("terms"))
 
     @property
     def rows(self):
@@ -268,9 +268,9 @@ _CHAIN = {
     "edg": "select distinct * from memory_edge",
     "emb": """select distinct * from memory_embedding where embedding is not null and len(embedding) = 64
         and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0""",
-    "q": r"""select query_id, tenant_id, version_id, list_distinct(w[1:2]) as terms, w[1] as term1 from (
-        select distinct feed_seq as query_id, tenant_id, version_id, list_filter(regexp_extract_all(coalesce(title, ''), '[\p{L}\p{N}]+'),
-        lambda x: x = lower(x) and length(x) >= 4 and not regexp_matches(x, '[0-9]')) as w from feed_entry where feed_seq % 50 = 0)""",
+    "q": r"""select query_id, tenant_id, version_id, list_distinct(w[1:(query_id // 50 % 4 + 1)::int]) as terms, w[1] as term1 from (
+        select distinct feed_seq as query_id, tenant_id, version_id, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}]+'),
+        lambda x: length(x) >= 4 and not regexp_matches(x, '[0-9]')) as w from feed_entry where feed_seq % 50 = 0)""",
     "rws": """select c.tenant_id, c.id as chunk_id, c.version_id, c.document_id, occurred_at, authority, temporal_class, valid_until, provenance, created_by_kind, title, adapter, external_ref
         from chk c join ver v on c.tenant_id = v.tenant_id and c.version_id = v.id and c.document_id = v.document_id
         join doc d on c.tenant_id = d.tenant_id and c.document_id = d.id where v.status = 'active' and v.generation = 'live'""",

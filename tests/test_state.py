@@ -142,6 +142,9 @@ def test_degrade_batch_and_stream(spark, tmp_path):
     want = sequential(hits)
     got = [r.escalated for r in degrade.escalation(degrade.rolling_rates(calls, F.col("hit") == 1)).where("tenant_id = 't'").orderBy("seq").collect()]
     assert got == want and True in want and False in want[40:]
+    parts = degrade.rolling_rates(calls, F.col("hit") == 1, block_rows=230)
+    assert parts.where("tenant_id = 't'").agg(F.max("block")).first()[0] == 2
+    assert [r.escalated for r in degrade.escalation(parts).where("tenant_id = 't'").orderBy("seq").collect()] == want
     for i, (a, b) in enumerate(((0, 200), (200, 540))):
         calls.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -260,7 +263,10 @@ def test_plane(spark, tmp_path):
     catalog = live.CatalogSource("linear", [{"adapter": "linear", "external_ref": "L1", "title": "Renewal ticket", "score": 2.0}])
     m = Memory(spark, str(tmp_path / "store"), embedding.hashing_embedder(64), sources=[catalog], clock=lambda: clock["now"])
     tick = lambda day: clock.update(now=datetime(2024, 6, day))
-    one = m.add("t", "alice", "Q3 renewal call", "The renewal is due in March. The customer asked twice.", external_ref="call:1", access_tags=["memory.space:s1"])
+    one = m.add("t", "alice", "Q3 renewal call", "The renewal is due in March. The customer asked twice.", external_ref="call:1", access_tags=["memory.space:s1"], entities=[("person", "dana")], edges=[("authored_by", "native", "alice"), ("part_of", "entity", "e9")])
+    assert {(r.kind, r.identifiers) for r in m.store.read("entity", "t").collect()} == {("person", '{"value":"dana"}'), ("principal", '{"value":"alice"}')}
+    assert {(r.rel, r.to_type) for r in m.store.read("edge", "t").where("from_type = 'document'").collect()} == {("authored_by", "entity"), ("part_of", "entity")}
+    assert m.search("t", "alice", entity_ids=["e9"], sources=["local"])["hits"][0]["document_id"] == one["document_id"]
     assert one["status"] == "captured" and one["degraded"] == [] and one["chunks"] == 1
     tick(2)
     again = m.add("t", "alice", "Q3 renewal call", "The renewal is due in March. The customer asked twice.", external_ref="call:1")
