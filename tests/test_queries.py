@@ -8,12 +8,11 @@ import __spark_entry__ as entry
 from tests.compare import compare
 
 ROOT = "/root/testdata/sf0.001"
-SLOW = {"hybrid_fallback_topk", "evidence_label", "merge_local_live", "final_boosted_score", "dedupe_per_document"}
 CORE = [n for n in entry.registry.queries() if n in entry.registry.oracle_sql()]
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
 
 
-@pytest.mark.parametrize("name", [n for n in CORE if n not in SLOW or n == "hybrid_fallback_topk"])
+@pytest.mark.parametrize("name", CORE)
 def test_same_as_sql(spark, name):
     text, same = compare(spark, ROOT, name, entry.registry.queries()[name], entry.registry.oracle_sql()[name])
     assert same, text
