@@ -38,8 +38,9 @@ VISITORS = 8
 BROADCAST_BYTES, ROUTE_ROWS = 64 << 20, 100_000
 #: Recall at which widening stops in a cell, and of visits between cells; calibration queries of a cell and of a level.
 RECALL, MARGIN_RECALL, CALIBRATION, FIT_CALIBRATION = 0.97, 0.98, 192, 512
-#: With a least cosine, so many queries calibrate a level, by neighbours of that cosine alone if the sample has so many.
-NEAR_CALIBRATION, NEAR_LEAST = 4_096, 100
+#: With a least cosine, so many queries calibrate a level, by neighbours of that cosine alone if the sample has so many,
+#: and to this recall: near neighbours are reached by few visits.
+NEAR_CALIBRATION, NEAR_LEAST, NEAR_RECALL = 4_096, 100, 0.998
 ROUNDS = 6
 
 
@@ -252,13 +253,16 @@ class Level:
 def fit_level(x: np.ndarray, h: np.ndarray, n: int, shard_rows: int, k: int, at_least: float | None = None) -> Level:
     """The cut of a cell of about n vectors, of which x is a sample and h their hashes."""
     limit = shard_rows * 3 // 2
-    tree = Tree(x, FIT_LEAF, BRANCHES)
+    # the margin is set by vectors that the tree wasn't fitted on
+    held_out = np.random.default_rng(3).permutation(len(x))[: len(x) // 4]
+    fitted = np.delete(x, held_out, axis=0)
+    tree = Tree(fitted, FIT_LEAF, BRANCHES)
     leaf = np.flatnonzero(tree.is_leaf)
     size = np.array([len(tree.rows[i]) for i in leaf])
     # copies of a vector fill several leaves, whose centres differ by rounding at most
     centre, same = np.unique(np.round(tree.centres[leaf], 5), axis=0, return_inverse=True)
     same = same.reshape(-1)
-    mass = np.bincount(same, size, len(centre)) * (n / len(x))
+    mass = np.bincount(same, size, len(centre)) * (n / len(fitted))
     crowd = mass > limit
     first, spread = np.zeros(len(centre), np.int64), np.ones(len(centre), np.int64)
     parts = 0
@@ -274,9 +278,9 @@ def fit_level(x: np.ndarray, h: np.ndarray, n: int, shard_rows: int, k: int, at_
     tree.x, tree.rows, tree.centre = x[:0], [], []
     level = Level(tree, node_first, node_spread, 9.0, np.zeros(parts), np.ones(parts, np.int64))
     home, best = (np.concatenate(z) for z in zip(*(level.near_parts(x[i : i + 8_192], h[i : i + 8_192]) for i in range(0, len(x), 8_192)), strict=True))
-    pick = np.random.default_rng(3).choice(len(x), min(FIT_CALIBRATION if at_least is None else NEAR_CALIBRATION, len(x)), replace=False)
+    pick = held_out[: FIT_CALIBRATION if at_least is None else NEAR_CALIBRATION]
     m = min(k, len(x) - 1)
-    if m > 0:
+    if m > 0 and len(pick):
         near, cos = [], []
         for i in range(0, len(pick), 128):
             s = x[pick[i : i + 128]] @ x.T
@@ -285,8 +289,9 @@ def fit_level(x: np.ndarray, h: np.ndarray, n: int, shard_rows: int, k: int, at_
             cos.append(np.take_along_axis(s, near[-1], 1))
         gap = best[pick].max(1, keepdims=True) - np.take_along_axis(best[pick], home[np.concatenate(near)], 1)
         if at_least is not None and (strong := np.concatenate(cos) >= at_least).sum() >= NEAR_LEAST:
-            gap = gap[strong]
-        level.margin = float(np.quantile(gap, MARGIN_RECALL)) + 1e-6
+            level.margin = float(np.quantile(gap[strong], NEAR_RECALL)) + 1e-6
+        else:
+            level.margin = float(np.quantile(gap, MARGIN_RECALL)) + 1e-6
     level.rows = np.bincount(home, minlength=parts) * (n / len(x))
     _, seen = level.visits(home, best)
     visitors = np.bincount(seen, minlength=parts) * (n / len(x))
